@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.common import documents
+from waymark.llm.embedding_dedup import near_vectors
 from waymark.llm.near_dedup import near_groups
 
 
@@ -14,8 +15,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), width=4)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup,)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op8_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
