@@ -8,19 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.common import documents
 from waymark.llm.embedding_dedup import near_vectors
+from waymark.llm.mixing import mix
 from waymark.llm.near_dedup import near_groups
+from waymark.llm.quality import quality
+from waymark.llm.toxicity import toxicity
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), width=4)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0)
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op8_embedding_dedup)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op5_quality_rules, op8_embedding_dedup, op9_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
