@@ -88,3 +88,49 @@ def word_count(text: str):
     """The number of words of a text column, as a JVM expression; null has none."""
     trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\x20\x09-\x0D]+", "w")
     return F.length(F.translate(trimmed, " \t\n\x0b\x0c\r", "")).cast("long")
+
+
+def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Apply ``fn`` to the rows of each key; a key's rows must fit in memory.
+
+    Many small groups cost one pass over sorted rows instead of a call to
+    Spark's grouped functions each.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+            same = bool(rest) and all(rest[-1][k][-1].as_py() == batch[k][0].as_py() for k in keys)
+            edges = [0, *(np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1).tolist(), batch.num_rows]
+            if rest and not same:
+                yield from done(rest)
+                rest = []
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                rest.append(batch.slice(x, y - x))
+                if y < batch.num_rows:
+                    yield from done(rest)
+                    rest = []
+        if rest:
+            yield from done(rest)
+
+    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+        if (out := fn(rows)) is not None:
+            yield out
+
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def block_pairs(df: DataFrame, node: str, size: str, block: int) -> DataFrame:
+    """Deal groups of ``size`` rows out as pairs (i, j) of blocks; ``own`` is a row's block.
+
+    Any two rows of a group meet in exactly one pair of blocks, or, of one
+    block, in all that have it.
+    """
+    k = F.ceil(F.col(size) / block).cast("int")
+    rows = df.withColumn("own", F.pmod(F.hash(node), k)).withColumn("other_block", F.explode(F.sequence(F.lit(0), k - 1)))
+    return rows.withColumn("i", F.least("own", "other_block")).withColumn("j", F.greatest("own", "other_block")).drop("other_block")

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import materialize
-from waymark.llm.components import components
+from waymark.llm.common import block_pairs, by_group, materialize
+from waymark.llm.components import components, local_roots
 
 BLOCK = 1024
 MISS = 1e-6
@@ -70,17 +70,6 @@ def _coded(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
     return nodes.mapInArrow(run, T.StructType([*fields, T.StructField("codes", T.ArrayType(T.LongType()))]))
 
 
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """For each node the least node it reaches in a boolean adjacency."""
-    label = np.arange(len(linked))
-    while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1))
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _bucket(rows: pa.RecordBatch, cosine: float) -> pa.RecordBatch | None:
     """Links of one bucket, or of one pair of its blocks."""
     if len(rows) < 2:
@@ -101,36 +90,10 @@ def _bucket(rows: pa.RecordBatch, cosine: float) -> pa.RecordBatch | None:
         first = ~(codes[x] == codes[y]).any(axis=1)
         np.add.at(links, x[first], copies[y[first]])
     node, some = rows["node"].to_numpy(), np.flatnonzero(near.any(axis=1))
-    root = _roots(near)
+    root = local_roots(near)
     return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]]), pa.array(links[some])], ["node", "other", "links"])
 
 
-def _links(placed: DataFrame, cosine: float) -> DataFrame:
-    """(node, other, links) from rows that are sorted by bucket within each partition."""
-    key = ["label", "dim", "table", "code", "i", "j"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            rest = pa.concat_tables([rest, pa.Table.from_batches([batch])]) if rest is not None else pa.Table.from_batches([batch])
-            whole = rest.combine_chunks().to_batches()
-            if not whole:
-                continue
-            whole = whole[0]
-            keys = [whole[c].to_numpy(zero_copy_only=False) for c in key]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            edges = [0, *cuts.tolist()]
-            for x, y in zip(edges[:-1], edges[1:], strict=True):
-                if (out := _bucket(whole.slice(x, y - x), cosine)) is not None:
-                    yield out
-            rest = pa.Table.from_batches([whole.slice(edges[-1])])
-        if rest is not None and len(rest):
-            if (out := _bucket(rest.combine_chunks().to_batches()[0], cosine)) is not None:
-                yield out
-
-    return placed.mapInArrow(run, "node long, other long, links long")
-
-
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``.
 
@@ -155,11 +118,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     bucket = ["label", "dim", "table", "code"]
     sizes = rows.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, bucket)
-    k = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.hash("node"), k)).withColumn("o", F.explode(F.sequence(F.lit(0), k - 1)))
-    placed = rows.withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o")).drop("o", "n")
-    parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(_links(placed.repartition(parts, *bucket, "i", "j").sortWithinPartitions(*bucket, "i", "j"), cosine))
+    placed = block_pairs(rows, "node", "n", BLOCK).drop("n")
+    found = materialize(by_group(placed, [*bucket, "i", "j"], lambda rows: _bucket(rows, cosine), "node long, other long, links long"))
 
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = components(found, "node", "other").withColumnRenamed("node", "member")

@@ -1,17 +1,18 @@
 """Near-duplicate documents: a multi-index Hamming join of b-bit MinHash signatures.
 
-A signature is 32 symbols of 14 bits, cut into 8 chunks of 4.  If two
+A signature is 32 symbols of 16 bits, cut into 8 chunks of 4.  If two
 signatures differ in at most 15 symbols, some chunk differs in at most one
 (pigeonhole: two errors in each of 8 chunks make 16).  Each chunk's allowed
 errors are enumerated by leaving out one of its four symbols in turn, so every
 pair within distance 15 shares one of 32 keys.  At a similarity of 0.8 all
 eight chunks have two errors with probability 1e-6.
 
-Pairs are never listed per group.  Texts with equal shingle sets collapse to
-one node.  Each key's members are first held against the key's least node
-only; confirmed links make components; then only pairs that still lie in
-different components are held against each other.  All links are confirmed on
-the full shingle sets.
+Pairs are never listed.  Texts with equal shingle sets collapse to one node.
+The nodes of one key go to the group of the key's least node, so two nodes that
+share a key share a group, and a node is in at most 32.  A group holds the full
+shingle sets, counts all its intersections at once as products of an incidence
+matrix, and gives one edge per linked node to its local component.  Groups of
+more than ``BLOCK`` nodes are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -21,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import map_text, materialize
-from waymark.llm.components import components
-from waymark.llm.shingles import LANES, minhash, mix, shingle_sets
+from waymark.llm.common import block_pairs, by_group, map_text, materialize
+from waymark.llm.components import components, local_roots
+from waymark.llm.shingles import minhash, mix, shingle_sets
 
 CHUNK, CHUNKS = 4, 8
-#: Symbols of all 64 in which a pair may differ and still be held against each other;
-#: at a similarity of 0.8 more differ with probability 1e-7.
-MOST_APART = 31
+#: Nodes of a group that are held against as many others in one task.
+BLOCK = 512
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, text: str, width: int, *carried: str) -> DataF
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, fp and sig (16 longs of four symbols; null, as fp, for an empty set)."""
+    """doc_id, n_shingles, fp and sig (8 longs of four symbols; null, as fp, for an empty set)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = list(shingle_sets(batch["text"], width))
@@ -70,72 +70,56 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     return map_text(docs, "text", run, "doc_id long, n_shingles long, fp long, sig array<long>")
 
 
-def _apart(a: str, b: str) -> Column:
-    """In how many of the 64 symbols two signatures differ."""
-    total = F.lit(0)
-    for i in range(LANES // 4):
-        # A lane's 14 bits of difference plus 0x3FFF reach its bit 14 unless they are all 0.
-        lanes = F.col(a)[i].bitwiseXOR(F.col(b)[i]) + F.lit(0x3FFF3FFF3FFF3FFF)
-        total = total + F.bit_count(lanes.bitwiseAND(F.lit(0x4000400040004000)))
-    return total
-
-
-def _may_link(a: str, b: str) -> Column:
-    """Whether the sizes and signatures of two nodes allow a link."""
-    sizes = 100 * F.least(f"n_{a}", f"n_{b}") >= 80 * F.greatest(f"n_{a}", f"n_{b}")
-    return sizes & (_apart(f"sig_{a}", f"sig_{b}") <= MOST_APART)
-
-
-def _as(nodes: DataFrame, name: str, *more: str) -> DataFrame:
-    return nodes.select(F.col("fp").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n_shingles").alias(f"n_{name}"), *more)
-
-
 def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """fp and the shingle set, as bytes, of each of the ``wanted`` (fp, doc_id)."""
+    """fp and the shingle set of each of the ``wanted`` (fp, doc_id)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = list(shingle_sets(batch["text"], width))
         fps = pa.array([_fingerprint(s) if len(s) else None for s in found], pa.int64())
-        return pa.RecordBatch.from_arrays([batch["doc_id"], fps, pa.array([s.tobytes() for s in found], pa.binary())], ["id", "fp", "shingles"])
+        return pa.RecordBatch.from_arrays([batch["doc_id"], fps, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "fp", "shingles"])
 
     ids = wanted.select(F.col("doc_id").alias("id")).distinct()
-    found = map_text(docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi"), "text", run, "id long, fp long, shingles binary")
+    found = map_text(docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi"), "text", run, "id long, fp long, shingles array<long>")
     asked = wanted.select(F.col("fp").alias("f"), F.col("doc_id").alias("d"))
     return found.join(asked, (found["fp"] == asked["f"]) & found["id"].eqNullSafe(asked["d"]), "left_semi").dropDuplicates(["fp"]).select("fp", "shingles")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
-    """The pairs with 100 * |A and B| >= least_percent * |A or B|, counted on the full sets."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["s_a"], batch["s_b"], strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * shared >= least_percent * (len(a) + len(b) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("s_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
-
-
-def _rest(members: DataFrame, comps: DataFrame, nodes: DataFrame, block: int = 2048) -> DataFrame:
-    """The pairs of one key that are in different components and may link.
-
-    Keys of more than ``block`` members are dealt out as pairs of blocks; the
-    signatures are compared within the join, so only pairs that may link leave it.
-    """
-    placed = members.where("n > 2").join(comps, members["fp"] == comps["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").join(nodes.select("fp", "sig", "n_shingles"), "fp")
-    k = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.hash("fp"), k)
-    every = F.explode(F.sequence(F.lit(0), k - 1))
-    left = _as(open_.withColumn("i", own).withColumn("j", every), "a", "key", "i", "j", F.col("comp").alias("comp_a"))
-    right = _as(open_.withColumn("j", own).withColumn("i", every), "b", "key", "i", "j", F.col("comp").alias("comp_b"))
-    return left.join(right, (left["key"] == right["key"]) & (left["i"] == right["i"]) & (left["j"] == right["j"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _may_link("a", "b")).select("a", "b").distinct()
+def _intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles each two sets share, from products of at most ``columns`` shingles at a time."""
+    size = np.array([len(s) for s in sets])
+    token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, which, often = np.unique(token, return_inverse=True, return_counts=True)
+    some = often[which.ravel()] > 1
+    _, which = np.unique(which.ravel()[some], return_inverse=True)
+    owner, which = owner[some], which.ravel()
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], which[order]
+    for at in range(0, int(which[-1]) + 1 if len(which) else 0, columns):
+        x, y = np.searchsorted(which, [at, at + columns])
+        part = np.zeros((len(sets), columns), dtype=np.float32)
+        part[owner[x:y], which[x:y] - at] = 1
+        shared += part @ part.T
+    np.fill_diagonal(shared, size)
+    return shared
+
+
+def _group(rows: pa.RecordBatch, least_percent: int) -> pa.RecordBatch | None:
+    """An edge from each linked node of a group, or of a pair of its blocks, to the least it reaches here."""
+    if rows.num_rows < 2:
+        return None
+    column = rows["shingles"]
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    sets = [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    size = np.array([len(s) for s in sets])
+    shared = _intersections(sets)
+    linked = 100 * shared >= least_percent * (size[:, None] + size[None, :] - shared)
+    np.fill_diagonal(linked, False)
+    some = np.flatnonzero(linked.any(axis=1))
+    if not len(some):
+        return None
+    fp = rows["fp"].to_numpy()
+    return pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array(fp[local_roots(linked)[some]])], ["node", "root"])
 
 
 def near_groups(docs: DataFrame, width: int = 5, least_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,15 +137,14 @@ def near_groups(docs: DataFrame, width: int = 5, least_percent: int = 80, doc_id
     nodes = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     nodes = materialize(nodes)
     keyed = nodes.select("fp", F.explode(F.array(*_keys("sig"))).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(keyed.join(buckets, "key"))
-    sets = materialize(_sets(docs, width, nodes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "doc_id")))
-
-    star = members.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
-    star = star.join(_as(nodes, "a"), "a").join(_as(nodes, "b"), "b").where(_may_link("a", "b")).select("a", "b")
-    first = components(_confirmed(star, sets, least_percent), "a", "b")
-    more = _confirmed(_rest(members, first, nodes), sets, least_percent)
-    comps = components(first.unionByName(more.select(F.col("a").alias("node"), F.col("b").alias("root"))), "node", "root")
+    buckets = keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
+    members = materialize(keyed.join(buckets, "key").select("pivot", "fp").distinct())
+    wanted = nodes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "doc_id")
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("n"))
+    placed = block_pairs(members.join(sizes, "pivot"), "fp", "n", BLOCK).select("pivot", "i", "j", "fp")
+    held = placed.join(materialize(_sets(docs, width, wanted)), "fp")
+    edges = by_group(held, ["pivot", "i", "j"], lambda rows: _group(rows, least_percent), "node long, root long")
+    comps = components(edges, "node", "root")
 
     rooted = nodes.select("fp", "doc_id").join(comps, nodes["fp"] == comps["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

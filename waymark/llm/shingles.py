@@ -21,13 +21,14 @@ def _odd(n: int) -> np.ndarray:
     return _RNG.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-_BYTE = _odd(256)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
+_PLAIN = _odd(256)
+_FOLDED = _PLAIN.copy()
+_FOLDED[65:91] = _PLAIN[97:123]  # A-Z hash as a-z
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 & ~7 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_PLACE = _odd(64)
+PLACE = _odd(64)
 _LENGTH = _odd(1)[0]
 
 
@@ -64,8 +65,9 @@ def _spans(begin: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     yield from zip(cuts, [*cuts[1:], len(begin)], strict=True)
 
 
-def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and for each row where its words begin."""
+def word_hashes(raw: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, with A-Z as a-z if ``fold``, and for each row where its words begin."""
+    table = _FOLDED if fold else _PLAIN
     n = len(raw)
     if not n:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(offs), dtype=np.int64)
@@ -83,7 +85,7 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for a, b in _spans(begin):
         at, to = begin[a], end[b - 1]
         total = np.zeros(to - at + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[raw[at:to]] * _powers(_BASE, to - at), out=total[1:])
+        np.cumsum(table[raw[at:to]] * _powers(_BASE, to - at), out=total[1:])
         # Bringing each word back to power 0 makes its hash free of its place.
         own = (total[end[a:b] - at] - total[begin[a:b] - at]) * _powers(_INVERSE, to - at)[begin[a:b] - at]
         words[a:b] = mix(own + (end[a:b] - begin[a:b]).astype(np.uint64) * _LENGTH)
@@ -95,9 +97,9 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     raw, offs = text_buffers(texts)
     words, bounds = word_hashes(raw, offs)
     if len(words) >= width:
-        runs = words[: len(words) - width + 1] * _PLACE[0]
+        runs = words[: len(words) - width + 1] * PLACE[0]
         for k in range(1, width):
-            runs = runs + words[k : len(words) - width + 1 + k] * _PLACE[k]
+            runs = runs + words[k : len(words) - width + 1 + k] * PLACE[k]
         runs = mix(runs)
     else:
         runs = words[:0]
@@ -106,18 +108,18 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
         if n >= width:
             yield np.unique(runs[a : b - width + 1])
         elif n:
-            yield mix((words[a:b] * _PLACE[:n]).sum(keepdims=True) + _LENGTH * np.array([n], dtype=np.uint64))
+            yield mix((words[a:b] * PLACE[:n]).sum(keepdims=True) + _LENGTH * np.array([n], dtype=np.uint64))
         else:
             yield words[:0]
 
 
-LANES = 64
+LANES = 32
 _SCALE, _SHIFT = _odd(LANES), _odd(LANES)
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """64 symbols of 14 bits in 16: low bits of the least of each of 64 hashes of a non-empty set."""
+    """32 symbols of 16 bits: low bits of the least of each of 32 hashes of a non-empty set."""
     least = np.full(LANES, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(shingles), 2048):
         np.minimum(least, (shingles[at : at + 2048, None] * _SCALE + _SHIFT).min(axis=0), out=least)
-    return (mix(least) & np.uint64(0x3FFF)).astype(np.uint16)
+    return mix(least).astype(np.uint16)
