@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm.common import documents
+from waymark.llm.common import documents, materialize, word_count
 from waymark.llm.embedding_dedup import near_vectors
+from waymark.llm.language_id import page_languages
+from waymark.llm.lm_score import score
 from waymark.llm.mixing import mix
 from waymark.llm.near_dedup import near_groups
+from waymark.llm.packing import pack
 from waymark.llm.quality import quality
+from waymark.llm.token_counts import Rollup, deltas, token_counts
 from waymark.llm.toxicity import toxicity
+from waymark.llm.url_rules import url_verdicts
+
+#: The folder of public tokenizer files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer(folder: str = TOKENIZERS) -> tuple[bytes, str]:
+    """The ranks, as the file has them, and the pattern of the byte-level BPE in ``folder``."""
+    spec = importlib.util.spec_from_file_location("public_tokenizers", f"{folder}/__init__.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return Path(module.path("byte_bpe_50k.tiktoken")).read_bytes(), module.PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +44,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_languages(_table(spark, sf_dir, "pages"), documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
@@ -34,12 +60,36 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Totals after three batches: all documents; the toxic ones deleted; those of poor quality counted anew by words."""
+    ranks, pattern = tokenizer(tokenizers)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").distinct()
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text", word_count("text").alias("words"))
+    counted = materialize(token_counts(docs, ranks, pattern))
+    rollup = Rollup(spark)
+    rollup.commit("load", deltas(counted, "byte_bpe_50k", 1))
+    rollup.commit("toxic", deltas(counted.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi"), "byte_bpe_50k", -1))
+    poor = counted.join(labels.where("quality = 0 and toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    rollup.commit("recount", deltas(poor, "byte_bpe_50k", -1).unionByName(deltas(poor, "words", 1, "words")))
+    rollup.commit("load", deltas(counted, "byte_bpe_50k", 1))  # a replay, which changes nothing
+    return rollup.totals()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_toxicity, op5_quality_rules, op8_embedding_dedup, op9_mix_sources)}
+    found = (op1_minhash_dedup, op2_toxicity, op3_lm_score, op4_language_id, op5_quality_rules, op6_pack, op7_url_filters, op8_embedding_dedup, op9_mix_sources, op10_token_counts)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
