@@ -1,8 +1,67 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages over documents, each on all that its predecessor kept.
 
-STAGES = []
+All but the last return the columns of documents. Each stage is written and
+read again before the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.llm import language_id, mixing, near_dedup, packing, toxicity
+from waymark.llm.common import free_name, materialize, word_count
+
+#: A document goes as toxic from this score on.
+TOXIC_SCORE = 0.7
+#: A document goes whose language is undetermined or less probable than this.
+LEAST_POSTERIOR = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that are scored as toxic; null and empty texts stay."""
+    score = free_name(docs, "score")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.with_scores(docs, model, score).where(F.col(score) < TOXIC_SCORE).drop(score)
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents of no determined language."""
+    names = {c: free_name(docs, f"kept_{i}") for i, c in enumerate(docs.columns)}
+    safe = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()] + [F.col(c) for c in ("text", "lang", "source")])
+    judged = language_id.document_languages(safe, language_id.fit(docs), list(names.values()))
+    return judged.where((F.col("language") != "und") & (F.col("posterior") >= LEAST_POSTERIOR)).select([F.col(n).alias(c) for c, n in names.items()])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five words a shingle, similarity of 0.8 or more."""
+    return near_dedup.one_of_each(docs, width=5, least_percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its taken words fill it, 0 to 2 times; the fraction is rounded by a seeded hash."""
+    taken = mixing.mix(docs).where("size > 0")
+    copies = F.floor(F.sum("taken") / (F.sum("size")) + F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 20)) / (1 << 20))
+    copies = taken.groupBy(F.col("doc_id").alias("mixed_id"), F.col("size").alias("mixed_size")).agg(copies.cast("int").alias("copies")).where("copies > 0")
+    n, at = free_name(docs, "size"), free_name(docs, "copy")
+    sized = docs.withColumn(n, word_count("text"))
+    mixed = sized.join(copies, sized["doc_id"].eqNullSafe(copies["mixed_id"]) & (sized[n] == copies["mixed_size"]))
+    return mixed.withColumn(at, F.explode(F.sequence(F.lit(1), F.col("copies")))).select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words; a row per piece."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("language_id", keep_known_languages), ("near_dedup", drop_near_duplicates), ("mix_sources", mix_sources), ("pack", pack_documents)]
+
+#: The stages learn models, link near duplicates and pack greedily, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
