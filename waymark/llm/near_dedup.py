@@ -17,18 +17,23 @@ more than ``BLOCK`` nodes are dealt out as pairs of blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from waymark.llm.common import block_pairs, by_group, map_text, materialize
+from waymark.llm.common import block_pairs, by_group, free_name, map_text, materialize, slices
 from waymark.llm.components import components, local_roots
 from waymark.llm.shingles import minhash, mix, shingle_sets
 
 CHUNK, CHUNKS = 4, 8
 #: Nodes of a group that are held against as many others in one task.
 BLOCK = 512
+#: Log2 of the bits that mark texts whose sets are wanted: 8 MB.
+BITMAP = 26
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -44,17 +49,33 @@ def _keys(sig: str) -> list[Column]:
     return [F.xxhash64(F.lit(c * CHUNK + k), F.col(sig)[c].bitwiseAND(F.lit(m))) for c in range(CHUNKS) for k, m in enumerate(signed)]
 
 
-def fingerprints(docs: DataFrame, text: str, width: int, *carried: str) -> DataFrame:
-    """``carried`` columns, n_shingles, fp (equal for equal sets; null for empty ones)."""
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+def with_fingerprint(docs: DataFrame, text: str, width: int, out: str) -> DataFrame:
+    """``docs`` with the fingerprint of each text's shingle set; null for empty sets."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = list(shingle_sets(batch[text], width))
-        cols = [batch[c] for c in carried]
-        sizes = pa.array([len(s) for s in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([*cols, sizes, pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.int64())], [*carried, "n_shingles", "fp"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            fps = [_fingerprint(s) if len(s) else None for s in shingle_sets(batch[text], width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, out])
 
-    return map_text(docs, text, run, f"{fields}, n_shingles long, fp long")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, least_percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the least doc_id.
+
+    Texts without shingles stay. Of rows that agree in doc_id and shingles one
+    stays; of a group without any doc_id, one of each shingle set.
+    """
+    fp = free_name(docs, "fp")
+    named = with_fingerprint(docs, "text", width, fp)
+    kept = near_groups(docs, width, least_percent, with_fp=True).where("kept and fp is not null")
+    kept = materialize(kept.groupBy("doc_id", F.col("fp").alias("kept_fp")).agg((F.count("*") > 1).alias("again")).withColumnRenamed("doc_id", "kept_id"))
+    same = (named[fp] == F.col("kept_fp")) & named["doc_id"].eqNullSafe(F.col("kept_id"))
+    empty = named.where(F.col(fp).isNull())
+    out = empty.unionByName(named.join(kept.where("not again"), same, "left_semi"))
+    if not kept.where("again").isEmpty():
+        out = out.unionByName(named.join(kept.where("again"), same, "left_semi").dropDuplicates(["doc_id", fp]))
+    return out.drop(fp)
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
@@ -70,16 +91,33 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     return map_text(docs, "text", run, "doc_id long, n_shingles long, fp long, sig array<long>")
 
 
+def _bitmap(fps: DataFrame) -> bytes:
+    """2^``BITMAP`` bits, whatever the corpus, of which those of the ``fps`` are set."""
+    place = F.pmod("fp", F.lit(1 << BITMAP)) + 1
+    parts = fps.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("at"))
+    out = bytearray(1 << BITMAP - 3)
+    for part, bits in parts.groupBy("part").agg(F.bitmap_construct_agg("at")).collect():
+        out[(part - 1) * 4096 : part * 4096] = bits
+    return bytes(out)
+
+
 def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """fp and the shingle set of each of the ``wanted`` (fp, doc_id)."""
+    """fp and the shingle set of each of the ``wanted`` (fp, doc_id).
+
+    The texts are read once more; a bitmap tells at once most of those that
+    are not wanted, so that texts needn't be shuffled, and a join the rest.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        marks = np.frombuffer(shared.value, dtype=np.uint8)
         found = list(shingle_sets(batch["text"], width))
-        fps = pa.array([_fingerprint(s) if len(s) else None for s in found], pa.int64())
-        return pa.RecordBatch.from_arrays([batch["doc_id"], fps, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "fp", "shingles"])
+        fps = np.array([_fingerprint(s) if len(s) else 0 for s in found], dtype=np.int64)
+        place = fps & ((1 << BITMAP) - 1)
+        some = np.flatnonzero((marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool) & np.array([len(s) > 0 for s in found]))
+        return pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(some)), pa.array(fps[some]), pa.array([found[k].view(np.int64) for k in some], pa.list_(pa.int64()))], ["id", "fp", "shingles"])
 
-    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
-    found = map_text(docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi"), "text", run, "id long, fp long, shingles array<long>")
+    found = map_text(docs, "text", run, "id long, fp long, shingles array<long>")
     asked = wanted.select(F.col("fp").alias("f"), F.col("doc_id").alias("d"))
     return found.join(asked, (found["fp"] == asked["f"]) & found["id"].eqNullSafe(asked["d"]), "left_semi").dropDuplicates(["fp"]).select("fp", "shingles")
 
@@ -122,7 +160,7 @@ def _group(rows: pa.RecordBatch, least_percent: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array(fp[local_roots(linked)[some]])], ["node", "root"])
 
 
-def near_groups(docs: DataFrame, width: int = 5, least_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, least_percent: int = 80, doc_id: str = "doc_id", text: str = "text", with_fp: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     component_id is the least doc_id of the texts reachable by links, kept tells
@@ -131,6 +169,7 @@ def near_groups(docs: DataFrame, width: int = 5, least_percent: int = 80, doc_id
     component_id unless a whole component has no other. Null, empty and
     wordless texts have no shingles, are linked with nothing and kept. Other
     columns of ``docs`` are not read, whatever their names. No rows give none.
+    ``with_fp`` puts the set's fingerprint before the other columns.
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = materialize(_signed(docs, width))
@@ -151,4 +190,4 @@ def near_groups(docs: DataFrame, width: int = 5, least_percent: int = 80, doc_id
     named = rooted.join(least, "root").select("fp", "component_id")
     out = signed.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null(F.col("doc_id"), component).alias("kept"))
+    return out.select(*["fp"] * with_fp, "doc_id", "n_shingles", component.alias("component_id"), F.equal_null(F.col("doc_id"), component).alias("kept"))
