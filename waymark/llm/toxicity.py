@@ -38,6 +38,8 @@ MOST_DOCS = {1: 4000, 0: 6000}
 MOST_BYTES = 24 << 20
 BASE_BYTES, OWN_BYTES, LEVEL, TIMES = 64 << 10, 8 << 10, 9, 4
 SHARE, PRIOR = 0.02, 0.01
+#: The prior is raised up to this while at most ``MOST_FALSE`` of the calibration's ordinary texts reach the cut.
+MOST_PRIOR, CUT, MOST_FALSE = 0.1, 0.7, 0.005
 #: Cells of the table: bytes saved 0-11, bytes that remain 0-31.
 SAVED, LEFT = 12, 32
 #: A cell counts as evidence from this likelihood ratio on.
@@ -67,6 +69,10 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes,
     return rows, hashes, bounds, plain.tobytes(), np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
 def _distinct(text: str) -> set[bytes]:
     return set(bytes(_PLAIN[np.frombuffer(text.encode(), dtype=np.uint8)]).split())
 
@@ -99,6 +105,7 @@ class Toxicity:
     toxic: bytes
     ordinary: bytes
     evidence: np.ndarray
+    prior: float = PRIOR
 
     def lengths(self, words: list[bytes]) -> np.ndarray:
         """The cell of each word."""
@@ -134,7 +141,7 @@ class Toxicity:
                 known["cell"] = np.insert(known["cell"], where[new], cells[new])
             pairs = np.unique(rows * len(distinct) + which.ravel())
             total = np.bincount(pairs // len(distinct), weights=self.evidence[cells[pairs % len(distinct)]], minlength=len(texts))
-        odds = np.clip(total + math.log(PRIOR / (1 - PRIOR)), -700, 700)
+        odds = np.clip(total + _logit(self.prior), -700, 700)
         return 1 / (1 + np.exp(-odds))
 
 
@@ -160,12 +167,12 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Toxicity | None:
     size = min(len(toxic_own), len(plain_own))
     model = Toxicity(base + toxic_own[-size:], base + plain_own[-size:], np.zeros(SAVED * LEFT))
 
-    cells = {}
+    cells, known = {}, {}
     for y, s in sets.items():
         words = [w for x in (s[part[y] :] or s) for w in sorted(x)]
         distinct = sorted(set(words))
-        at = dict(zip(distinct, model.lengths(distinct).tolist(), strict=True)) if distinct else {}
-        cells[y] = np.bincount([at[w] for w in words], minlength=SAVED * LEFT).astype(float)
+        known |= dict(zip(distinct, model.lengths(distinct).tolist(), strict=True)) if distinct else {}
+        cells[y] = np.bincount([known[w] for w in words], minlength=SAVED * LEFT).astype(float)
     n1, n0 = max(1.0, cells[1].sum()), max(1.0, cells[0].sum())
     ratio = ((cells[1] + n1 / n0) / n1) / ((cells[0] + 1) / n0)
     ratio = np.maximum((ratio - (1 - SHARE)) / SHARE, 0)
@@ -174,7 +181,10 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Toxicity | None:
     evidence = np.where(kept, np.log1p(SHARE * (ratio - 1).clip(0)), 0.0)
     rest = max(1e-9, 1 - SHARE * min(0.9, cells[1][kept].sum() / n1 / SHARE))
     evidence[~kept] = math.log(rest) * 0.25
-    return Toxicity(model.toxic, model.ordinary, evidence)
+    totals = np.sort([sum(evidence[known[w]] for w in x) for x in (sets[0][part[0] :] or sets[0])])
+    highest = totals[min(len(totals) - 1, int((1 - MOST_FALSE) * len(totals)))]
+    prior = 1 / (1 + math.exp(highest - _logit(CUT)))
+    return Toxicity(model.toxic, model.ordinary, evidence, min(MOST_PRIOR, max(PRIOR, 0.9 * prior)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -214,7 +224,7 @@ def with_scores(docs: DataFrame, model: Toxicity | None, score: str, text: str =
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= ``cut``) for every row of ``docs``.
 
     Null and empty texts get the prior. Rows that repeat a doc_id are scored
