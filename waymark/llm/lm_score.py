@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import materialize, slices
+from waymark.llm.common import by_group, materialize, slices
 from waymark.llm.shingles import PLACE, mix, text_buffers, word_hashes
 
 CELLS = 1 << 20
+#: Cells that travel to the driver as one row.
+BLOCK = 1 << 14
 #: Weights of the bigram, word and uniform parts.
 PARTS = (0.5, 0.4, 0.1)
 COUNTS = ["word_background", "pair_background", "word_target", "pair_target"]
@@ -57,6 +59,21 @@ def count(docs: DataFrame, target: Column) -> DataFrame:
     return partial.groupBy("cell").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
+def tables(counts: DataFrame) -> np.ndarray:
+    """The four tables of counts as one array of 16 MB, gathered as ``CELLS / BLOCK`` packed rows."""
+
+    def pack(rows: pa.RecordBatch) -> pa.RecordBatch:
+        own = np.zeros((len(COUNTS), BLOCK), dtype=np.float32)
+        own[:, rows["cell"].to_numpy() % BLOCK] = [rows[c].to_numpy() for c in COUNTS]
+        return pa.RecordBatch.from_arrays([rows["block"].slice(0, 1), pa.array([own.tobytes()], pa.binary())], ["block", "counts"])
+
+    packed = by_group(counts.withColumn("block", F.floor(F.col("cell") / BLOCK)), ["block"], pack, "block long, counts binary")
+    out = np.zeros((len(COUNTS), CELLS), dtype=np.float32)
+    for row in materialize(packed).collect():
+        out[:, row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, dtype=np.float32).reshape(len(COUNTS), BLOCK)
+    return out
+
+
 def _losses(counts: np.ndarray, word: np.ndarray, at: np.ndarray, pair: np.ndarray, side: int) -> np.ndarray:
     """The loss of each word under one model: ``side`` 0 is the background, 2 the target."""
     words, pairs = counts[side], counts[side + 1]
@@ -78,12 +95,7 @@ def score(docs: DataFrame, labels: DataFrame, good: int = 1) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = labels.where(F.col("quality") == good).select(F.col("doc_id").alias("chosen")).distinct()
     marked = docs.join(chosen, F.col("doc_id") == F.col("chosen"), "left")
-    cells = materialize(count(marked, F.col("chosen").isNotNull()))
-    table = np.zeros((4, CELLS), dtype=np.float32)
-    rows = cells.toPandas()
-    for k, c in enumerate(COUNTS):
-        table[k, rows["cell"].to_numpy(dtype=np.int64)] = rows[c].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(tables(count(marked, F.col("chosen").isNotNull())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
