@@ -34,9 +34,11 @@ from pyspark.sql import types as T
 from waymark.llm.common import slices
 from waymark.llm.shingles import text_buffers, word_hashes
 
-MOST_DOCS = {1: 4000, 0: 6000}
-MOST_BYTES = 24 << 20
+MOST_DOCS = {1: 3000, 0: 4000}
+MOST_BYTES = 12 << 20
 BASE_BYTES, OWN_BYTES, LEVEL, TIMES = 64 << 10, 8 << 10, 9, 4
+#: Ordinary texts that train the base and the ordinary dictionary, at most.
+TRAINING_DOCS = 1500
 SHARE, PRIOR = 0.02, 0.01
 #: The prior is raised up to this while at most ``MOST_FALSE`` of the calibration's ordinary texts reach the cut.
 MOST_PRIOR, CUT, MOST_FALSE = 0.1, 0.7, 0.005
@@ -73,8 +75,10 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _distinct(text: str) -> set[bytes]:
-    return set(bytes(_PLAIN[np.frombuffer(text.encode(), dtype=np.uint8)]).split())
+def _distinct(texts: list[str], known: dict[bytes, bytes]) -> list[tuple[bytes, ...]]:
+    """The sorted distinct words of each text; ``known`` lets texts share their words."""
+    found = (bytes(_PLAIN[np.frombuffer(t.encode(), dtype=np.uint8)]).split() for t in texts)
+    return [tuple(sorted(known.setdefault(w, w) for w in set(words))) for words in found]
 
 
 def _trained(size: int, samples: list[bytes]) -> bytes:
@@ -149,13 +153,14 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Toxicity | None:
     """Learn from texts; two thirds make the dictionaries, a third the table. None without both classes."""
     if not toxic or not ordinary:
         return None
-    sets = {1: [_distinct(t) for t in toxic], 0: [_distinct(t) for t in ordinary]}
+    shared: dict[bytes, bytes] = {}
+    sets = {1: _distinct(toxic, shared), 0: _distinct(ordinary, shared)}
     part = {y: max(1, len(s) * 2 // 3) for y, s in sets.items()}
     often = {y: Counter(w for s in sets[y][: part[y]] for w in s) for y in sets}
     least = max(2, round(0.003 * part[1]))
     typical = {w: n for w, n in often[1].items() if n >= least and n / part[1] >= 20 * (often[0][w] + 0.5) / part[0]}
-    toxic_words = [w + b" " for s in sets[1][: part[1]] for w in sorted(s) if w in typical]
-    plain_words = [w + b" " for s in sets[0][: part[0]] for w in sorted(s)]
+    toxic_words = [w + b" " for s in sets[1][: part[1]] for w in s if w in typical]
+    plain_words = [w + b" " for s in sets[0][: min(part[0], TRAINING_DOCS)] for w in s]
     if not toxic_words or not plain_words:
         return None
     four = lambda words: [b"".join(words[i : i + 4]) for i in range(0, len(words), 4)]
@@ -169,7 +174,7 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Toxicity | None:
 
     cells, known = {}, {}
     for y, s in sets.items():
-        words = [w for x in (s[part[y] :] or s) for w in sorted(x)]
+        words = [w for x in (s[part[y] :] or s) for w in x]
         distinct = sorted(set(words))
         known |= dict(zip(distinct, model.lengths(distinct).tolist(), strict=True)) if distinct else {}
         cells[y] = np.bincount([known[w] for w in words], minlength=SAVED * LEFT).astype(float)
