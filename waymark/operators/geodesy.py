@@ -14,6 +14,8 @@ RADIUS = AXIS / (1 + N) * (1 + N**2 / 4 + N**4 / 64)
 ECC = math.sqrt(FLATTENING * (2 - FLATTENING))
 FORWARD = [N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16 + 41 * N**4 / 180, 13 * N**2 / 48 - 3 * N**3 / 5 + 557 * N**4 / 1440, 61 * N**3 / 240 - 103 * N**4 / 140, 49561 * N**4 / 161280]
 INVERSE = [N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96 - N**4 / 360, N**2 / 48 + N**3 / 15 - 437 * N**4 / 1440, 17 * N**3 / 480 - 37 * N**4 / 840, 4397 * N**4 / 161280]
+# From the conformal to the geodetic latitude.
+LATITUDE = [2 * N - 2 * N**2 / 3 - 2 * N**3 + 116 * N**4 / 45, 7 * N**2 / 3 - 8 * N**3 / 5 - 227 * N**4 / 45, 56 * N**3 / 15 - 136 * N**4 / 35, 4279 * N**4 / 630]
 
 
 def central_meridian(zone: int) -> float:
@@ -42,14 +44,9 @@ def from_utm(x: Column, y: Column, zone: int = 33) -> tuple[Column, Column]:
     xi, eta = y / (SCALE * RADIUS), (x - EASTING) / (SCALE * RADIUS)
     xi0 = xi - _sum([b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(INVERSE, 1)])
     eta0 = eta - _sum([b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(INVERSE, 1)])
-    tau0 = F.sin(xi0) / F.sqrt(F.sinh(eta0) * F.sinh(eta0) + F.cos(xi0) * F.cos(xi0))
-    # Newton steps from the conformal to the geodetic latitude; three reach double precision.
-    tau = tau0
-    for _ in range(3):
-        sigma = F.sinh(ECC * F.atanh(ECC * tau / F.sqrt(1 + tau * tau)))
-        back = tau * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + tau * tau)
-        tau = tau + (tau0 - back) / F.sqrt(1 + back * back) * (1 + (1 - ECC**2) * tau * tau) / ((1 - ECC**2) * F.sqrt(1 + tau * tau))
-    return F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))) + central_meridian(zone), F.degrees(F.atan(tau))
+    chi = F.asin(F.sin(xi0) / F.cosh(eta0))
+    phi = chi + _sum([d * F.sin(2 * j * chi) for j, d in enumerate(LATITUDE, 1)])
+    return F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))) + central_meridian(zone), F.degrees(phi)
 
 
 def stadium(x1: Column, y1: Column, x2: Column, y2: Column, radius: float, per_quadrant: int = 8) -> Column:
