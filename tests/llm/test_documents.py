@@ -227,6 +227,22 @@ def test_lm_scores_equal_plain_counts(spark):
     assert lm_score.score(docs.limit(0), labels).count() == 0
 
 
+def test_lm_counts_many_pairs_apart(spark):
+    rng = np.random.default_rng(5)
+    draws = rng.integers(0, 100_000, (40, 15_000))
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in d)) for i, d in enumerate(draws.tolist())], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in lm_score.score(docs, labels).collect()}
+    for corpus, column in ((draws, "background_loss"), (draws[:10], "target_loss")):
+        words = np.bincount(corpus.ravel(), minlength=100_000)
+        pairs = collections.Counter((corpus[:, :-1] * 100_000 + corpus[:, 1:]).ravel().tolist())
+        for i in (0, 25):
+            p = lm_score.PARTS[1] * words[draws[i]] / words.sum() + lm_score.PARTS[2] / lm_score.CELLS
+            often = np.array([pairs[k] for k in (draws[i, :-1] * 100_000 + draws[i, 1:]).tolist()])
+            p[1:] += lm_score.PARTS[0] * often / np.maximum(words[draws[i, :-1]], 1)
+            assert getattr(got[i], column) == pytest.approx(-np.log(p).mean(), rel=1e-6)
+
+
 def test_languages_of_pages(spark):
     docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "pages"))
     found = {r.page_id: r for r in language_id.page_languages(pages, docs).collect()}

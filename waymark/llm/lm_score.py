@@ -1,86 +1,110 @@
 """Language-model scoring: cross-entropy difference of a target and a background model.
 
-Both models are interpolated bigram models over one vocabulary: lower-cased
-words of all documents, hashed to ``CELLS`` classes.  Bigrams share a table of
-as many classes.  Counting covers all documents: each task adds up its
-partitions' counts in arrays, and a grouped aggregation sums the tasks' cells.
-The summed tables have ``CELLS`` rows whatever the corpus, which bounds what
-goes to the driver and back to the tasks.  A document's score is the mean over
-its words of target loss minus background loss, in nats; low scores are like
-the target.
+Both models are interpolated bigram models over lower-cased words.  Words and
+bigrams are counted one by one, by 64-bit hashes, so what is counted grows with
+the corpus.  Documents are dealt out in chunks of about ``CHUNK_BYTES``.  A
+chunk asks for each of its distinct words and bigrams once and brings its own
+counts of them, so a word that is everywhere costs a row a chunk.  Buckets of
+hashes add up the chunks' counts and answer each chunk; no table of them goes
+to the driver or to all tasks.  A document's score is the mean over its words
+of target loss minus background loss, in nats; low scores are like the target.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import by_group, materialize, slices
+from waymark.llm.common import by_group, map_text
 from waymark.llm.shingles import PLACE, mix, text_buffers, word_hashes
 
+#: Classes of the uniform part, the same for both models whatever the vocabulary.
 CELLS = 1 << 20
-#: Cells that travel to the driver as one row.
-BLOCK = 1 << 14
+#: Bytes of a chunk's texts, and corpus words for each bucket of hashes, on average.
+CHUNK_BYTES, BUCKET_WORDS = 1 << 22, 3 << 18
 #: Weights of the bigram, word and uniform parts.
 PARTS = (0.5, 0.4, 0.1)
-COUNTS = ["word_background", "pair_background", "word_target", "pair_target"]
 
 
-def _cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and word cell of each word; word index and pair cell of each second of a pair."""
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row of each word; word index of each second of a pair; distinct hashes, and which each word, then each pair, has."""
     raw, offs = text_buffers(texts)
     words, bounds = word_hashes(raw, offs)
     row = np.repeat(np.arange(len(texts)), np.diff(bounds))
     at = np.flatnonzero(row[1:] == row[:-1]) + 1
     pair = mix(words[at - 1] * PLACE[0] + words[at] * PLACE[1])
-    return row, (words % CELLS).astype(np.int64), at, (pair % CELLS).astype(np.int64)
-
-
-def count(docs: DataFrame, target: Column) -> DataFrame:
-    """cell and the four counts, over all ``docs``; ``target`` marks the target's documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((4, CELLS), dtype=np.int64)
-        for batch in slices(batches, "text"):
-            row, word, at, pair = _cells(batch["text"])
-            inside = batch["target"].to_numpy(zero_copy_only=False).astype(bool)[row]
-            for k, (cells, where) in enumerate(((word, None), (pair, None), (word, inside), (pair, inside[at]))):
-                sums[k] += np.bincount(cells if where is None else cells[where], minlength=CELLS)
-        some = np.flatnonzero(sums.any(axis=0))
-        for part in np.array_split(some, len(some) // 65536 + 1):
-            yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(s[part]) for s in sums]], ["cell", *COUNTS])
-
-    marked = docs.select("text", F.coalesce(target, F.lit(False)).alias("target"))
-    partial = marked.mapInArrow(run, "cell long, " + ", ".join(f"{c} long" for c in COUNTS))
-    return partial.groupBy("cell").agg(*[F.sum(c).alias(c) for c in COUNTS])
-
-
-def tables(counts: DataFrame) -> np.ndarray:
-    """The four tables of counts as one array of 16 MB, gathered as ``CELLS / BLOCK`` packed rows."""
+    distinct, which = np.unique(np.concatenate([words, pair]), return_inverse=True)
+    return row, at, distinct, which.ravel()
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers by place of their bytes, so that those of little use compress to nothing."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _ask(rows: pa.RecordBatch, buckets: int) -> pa.RecordBatch | None:
+    """A row for each bucket with the chunk's hashes there, as steps, and its counts over all and over target documents."""
+    docs = rows.filter(pc.invert(rows["is_label"]))
+    marked = rows.filter(rows["is_label"])["doc_id"]
+    row, at, distinct, which = _grams(docs["text"])
+    if not len(distinct):
+        return None
+    inside = np.array(pc.is_in(docs["doc_id"], value_set=marked), dtype=bool)[row]
+    counts = [np.bincount(which, minlength=len(distinct)), np.bincount(which[np.concatenate([inside, inside[at]])], minlength=len(distinct))]
+    bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(distinct)]
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    steps = [_planes(np.diff(distinct[a:b], prepend=np.uint64(0))) for a, b in spans]
+    columns = [pa.array(steps, pa.binary()), *[pa.array([_planes(n[a:b]) for a, b in spans], pa.binary()) for n in counts]]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array([rows["chunk"][0].as_py()] * len(spans), pa.int64()), *columns], ["bucket", "chunk", "steps", "background", "target"])
+
+
+def _answer(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The counts of the corpus for the hashes of each row, in its order."""
+    hashes = [np.cumsum(_numbers(x.as_py()), dtype=np.uint64) for x in rows["steps"]]
+    edges = np.cumsum([0, *map(len, hashes)]).tolist()
+    distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    which, columns = which.ravel(), []
+    for c in ("background", "target"):
+        own = np.concatenate([_numbers(x.as_py()) for x in rows[c]])
+        total = np.bincount(which, weights=own, minlength=len(distinct)).astype(np.int64)[which]
+        columns.append(pa.array([_planes(total[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays([rows["chunk"], rows["bucket"], *columns], ["chunk", "bucket", "background", "target"])
+
+
+def _losses(counts: np.ndarray, at: np.ndarray, n_words: int, total: int) -> np.ndarray:
+    """The loss of each word under one model; ``counts`` are of the words, then of the pairs."""
+    words, pairs = counts[:n_words], counts[n_words:]
+    p = PARTS[1] * words / max(1, total) + PARTS[2] / CELLS
+    p[at] += PARTS[0] * pairs / np.maximum(words[at - 1], 1)
+    return -np.log(p)
 
-    def pack(rows: pa.RecordBatch) -> pa.RecordBatch:
-        own = np.zeros((len(COUNTS), BLOCK), dtype=np.float32)
-        own[:, rows["cell"].to_numpy() % BLOCK] = [rows[c].to_numpy() for c in COUNTS]
-        return pa.RecordBatch.from_arrays([rows["block"].slice(0, 1), pa.array([own.tobytes()], pa.binary())], ["block", "counts"])
 
-    packed = by_group(counts.withColumn("block", F.floor(F.col("cell") / BLOCK)), ["block"], pack, "block long, counts binary")
-    out = np.zeros((len(COUNTS), CELLS), dtype=np.float32)
-    for row in materialize(packed).collect():
-        out[:, row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, dtype=np.float32).reshape(len(COUNTS), BLOCK)
-    return out
+def _scores(rows: pa.Table, answers: pa.Table, totals: dict[str, int]) -> pa.Table:
+    """The result's rows of a chunk's documents."""
+    docs = rows.filter(pc.invert(rows["is_label"])).combine_chunks()
+    texts = pa.concat_arrays(docs["text"].chunks) if docs.num_rows else pa.array([], pa.string())
+    row, at, _, which = _grams(texts)
+    n = np.bincount(row, minlength=len(texts))
+    answers, loss = answers.sort_by("bucket"), []
+    for c, total in totals.items():
+        counts = np.concatenate([np.zeros(0), *[_numbers(x.as_py()) for x in answers[c]]])
+        loss.append(np.bincount(row, weights=_losses(counts[which], at, len(row), total), minlength=len(texts)) / np.maximum(n, 1))
+    none = n == 0
+    return pa.table([docs["doc_id"], pa.array(n.astype(np.int64)), *[pa.array(x, mask=none) for x in (*loss, loss[0] - loss[1])]], ["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
 
-def _losses(counts: np.ndarray, word: np.ndarray, at: np.ndarray, pair: np.ndarray, side: int) -> np.ndarray:
-    """The loss of each word under one model: ``side`` 0 is the background, 2 the target."""
-    words, pairs = counts[side], counts[side + 1]
-    p = PARTS[1] * words[word] / max(1.0, words.sum()) + PARTS[2] / CELLS
-    # A pair's cell may hold more than its first word's, so its share is held below 1.
-    p[at] += PARTS[0] * np.minimum(pairs[pair] / np.maximum(words[word[at - 1]], 1), 1.0)
-    return -np.log(p)
+def _sizes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    raw, offs = text_buffers(batch["text"])
+    _, bounds = word_hashes(raw, offs)
+    return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(offs)), pa.array(np.diff(bounds).astype(np.int64))], ["doc_id", "bytes", "words"])
 
 
 def score(docs: DataFrame, labels: DataFrame, good: int = 1) -> DataFrame:
@@ -93,17 +117,18 @@ def score(docs: DataFrame, labels: DataFrame, good: int = 1) -> DataFrame:
     give none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = labels.where(F.col("quality") == good).select(F.col("doc_id").alias("chosen")).distinct()
-    marked = docs.join(chosen, F.col("doc_id") == F.col("chosen"), "left")
-    shared = docs.sparkSession.sparkContext.broadcast(tables(count(marked, F.col("chosen").isNotNull())))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for batch in slices(batches, "text"):
-            row, word, at, pair = _cells(batch["text"])
-            n = np.bincount(row, minlength=batch.num_rows)
-            loss = [np.bincount(row, weights=_losses(counts, word, at, pair, side), minlength=batch.num_rows) / np.maximum(n, 1) for side in (2, 0)]
-            none = n == 0
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n.astype(np.int64)), *[pa.array(x, mask=none) for x in (*loss, loss[0] - loss[1])]], ["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    chosen = labels.where((F.col("quality") == good) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("chosen")).distinct()
+    sizes = map_text(docs, "text", _sizes, "doc_id long, bytes long, words long").join(chosen, F.col("doc_id") == F.col("chosen"), "left")
+    sums = [F.count("*"), F.sum("bytes"), F.sum("words"), F.sum(F.when(F.col("chosen").isNotNull(), F.col("words")))]
+    n, size, words, target = (x or 0 for x in sizes.agg(*sums).first())
+    chunks, buckets = max(1, -(-(size + 64 * n) // CHUNK_BYTES)), max(1, -(-words // BUCKET_WORDS))
+
+    # Labels go to the chunk of their document, so texts are shuffled once; null ids are spread by text.
+    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)).alias("chunk")
+    rows = docs.select(place, "doc_id", "text", F.lit(False).alias("is_label"))
+    marks = chosen.select(F.col("chosen").alias("doc_id"), F.lit(None).cast("string").alias("text")).select(place, "doc_id", "text", F.lit(True).alias("is_label"))
+    rows = rows.unionByName(marks).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")
+    asked = by_group(rows, ["chunk"], lambda x: _ask(x, buckets), "bucket long, chunk long, steps binary, background binary, target binary")
+    answers = by_group(asked, ["bucket"], _answer, "chunk long, bucket long, background binary, target binary")
+    totals = {"target": target, "background": words}
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda x, y: _scores(x, y, totals), "doc_id long, n_words long, target_loss double, background_loss double, score double")
