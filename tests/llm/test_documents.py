@@ -275,3 +275,12 @@ def test_association_rules_against_brute_force(spark):
     assert ["path:a", "path:spam"] in [sorted(r.tokens) for r in rules.collect()]
     found = {r.url for r in url_rules.matches(frame.select("url"), rules).collect()}
     assert found == {u for u, blocked in rows if blocked}
+
+
+def test_redundant_rules_push_out_no_other(spark):
+    spam = [(f"http://x/{'/'.join(f't{k}w{j}' for j in range(8))}", True) for k in range(110) for _ in range(20)]
+    useful = [("http://y/useful", i < 27) for i in range(30)]
+    frame = spark.createDataFrame(spam + useful, "url string, blocked boolean")
+    tokens = [r.tokens for r in url_rules.mine(frame).collect()]
+    assert ["path:useful"] in tokens and len(tokens) == len(set(map(tuple, tokens)))
+    assert all(len(t) == 1 for t in tokens)

@@ -21,7 +21,7 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
 #: A rule holds for at least so many labelled pages, however few there are.
 LEAST_ROWS = 20
-MOST_TOKENS, MOST_RULES = 3, 10_000
+MOST_TOKENS = 3
 
 
 def host_of(url: str) -> Column:
@@ -44,7 +44,7 @@ def tokens_of(url: str) -> Column:
 
 
 def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (rule, tokens, confidence, support) from rows (url, blocked); at most ``MOST_RULES``, the most confident.
+    """Rules (rule, tokens, confidence, support) from rows (url, blocked), without redundant ones.
 
     Null urls are left out; without rows there are no rules.
     """
@@ -56,11 +56,24 @@ def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: floa
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, LEAST_ROWS / rows)), minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where((F.col("consequent")[0] == LABEL) & (F.size("antecedent") <= MOST_TOKENS))
     rules = found.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule"), F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = materialize(rules.orderBy(F.desc("confidence"), F.desc("support"), "rule").limit(MOST_RULES))
-    shorter = rules.select(F.col("rule").alias("inner"), F.col("tokens").alias("inner_tokens"), F.col("confidence").alias("inner_confidence"), F.explode("tokens").alias("token"))
-    redundant = rules.select("rule", "tokens", "confidence", F.explode("tokens").alias("token")).join(shorter, "token")
-    redundant = redundant.where((F.size("inner_tokens") < F.size("tokens")) & (F.col("inner_confidence") >= F.col("confidence")) & (F.size(F.array_except("inner_tokens", "tokens")) == 0))
-    return rules.join(redundant.select("rule").distinct(), "rule", "left_anti")
+    return _irredundant(materialize(rules))
+
+
+def _irredundant(rules: DataFrame) -> DataFrame:
+    """``rules`` without those that have a shorter rule of no less confidence inside them.
+
+    Rules of one length after another drop the longer ones: what drops a
+    rule that is itself dropped drops the same, so only rules that stay are held
+    against others, each under the token that the fewest rules have.
+    """
+    lengths = sorted(r.n for r in rules.select(F.size("tokens").alias("n")).distinct().collect())
+    for n in lengths[:-1]:
+        token = rules.select("rule", "tokens", "confidence", F.explode("tokens").alias("token"))
+        often = token.groupBy("token").agg(F.count("*").alias("often"))
+        short = token.where(F.size("tokens") == n).join(often, "token").groupBy("rule").agg(F.min(F.struct("often", "token"))["token"].alias("token"), F.first("tokens").alias("inner_tokens"), F.first("confidence").alias("inner_confidence")).drop("rule")
+        redundant = token.where(F.size("tokens") > n).join(short, "token").where((F.col("inner_confidence") >= F.col("confidence")) & (F.size(F.array_except("inner_tokens", "tokens")) == 0))
+        rules = materialize(rules.join(redundant.select("rule").distinct(), "rule", "left_anti"))
+    return rules
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
