@@ -284,3 +284,12 @@ def test_redundant_rules_push_out_no_other(spark):
     tokens = [r.tokens for r in url_rules.mine(frame).collect()]
     assert ["path:useful"] in tokens and len(tokens) == len(set(map(tuple, tokens)))
     assert all(len(t) == 1 for t in tokens)
+
+
+def test_rules_of_four_tokens_are_learned(spark):
+    kinds = [["a", "b", "c", "d"], ["a", "b", "c", "x"], ["a", "b", "x", "d"], ["a", "x", "c", "d"], ["x", "b", "c", "d"]]
+    rows = [(f"http://h/{'/'.join(k)}", "x" not in k) for k in kinds for _ in range(25)]
+    frame = spark.createDataFrame(rows, "url string, blocked boolean")
+    rules = url_rules.mine(frame)
+    assert [r.tokens for r in rules.collect()] == [["path:a", "path:b", "path:c", "path:d"]]
+    assert [r.url for r in url_rules.matches(frame, rules).collect()] == ["http://h/a/b/c/d"]

@@ -21,7 +21,6 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
 #: A rule holds for at least so many labelled pages, however few there are.
 LEAST_ROWS = 20
-MOST_TOKENS = 3
 
 
 def host_of(url: str) -> Column:
@@ -54,7 +53,7 @@ def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: floa
     if not rows:
         return urls.sparkSession.createDataFrame([], "rule string, tokens array<string>, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, LEAST_ROWS / rows)), minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where((F.col("consequent")[0] == LABEL) & (F.size("antecedent") <= MOST_TOKENS))
+    found = model.associationRules.where(F.col("consequent")[0] == LABEL)
     rules = found.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule"), F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     return _irredundant(materialize(rules))
 
