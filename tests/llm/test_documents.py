@@ -253,6 +253,18 @@ def test_languages_of_pages(spark):
     assert language_id.page_languages(odd.limit(0), docs).count() == 0
 
 
+def test_more_than_256_languages(spark):
+    rng = random.Random(7)
+    letters = [f"{c}{d}" for c in "bcdfghklmn" for d in "aeiou"]
+    word = lambda k: "".join(random.Random(k * 1000 + rng.randint(0, 9)).choice(letters) for _ in range(4))
+    rows = [(k * 2 + i, f"l{k:03}", " ".join(word(k) for _ in range(60)), None) for k in range(300) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string")
+    model = language_id.fit(docs)
+    assert model.languages == tuple(f"l{k:03}" for k in range(300))
+    found = language_id.document_languages(docs.where("doc_id % 17 = 0"), model, ["doc_id"]).collect()
+    assert len(found) == 36 and all(r.text_language == f"l{r.doc_id // 2:03}" for r in found)
+
+
 def test_url_rules(spark):
     rows = [(1, "https://WWW.Example.com/en/x?y#z"), (2, "http://m.example.com/en/"), (3, "http://shop.com"), (4, "http://a.net/fr/1"), (5, "http://a.net/en/1"), (6, None), (7, "example.com/en/"), (8, "http://a.com/?://b.net/es/"), (9, "http://xexample.com/en/")]
     pages = spark.createDataFrame(rows, "page_id long, url string")

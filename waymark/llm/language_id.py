@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from waymark.llm.common import materialize, slices
+from waymark.llm.common import by_group, materialize, slices
 from waymark.llm.shingles import text_buffers
 
 #: Labelled texts a language is learned from, in the order of a hash of doc_id.
@@ -58,38 +59,56 @@ class Trigrams:
     """Languages and, for each, the log probability of every cell."""
 
     languages: tuple[str, ...]
-    table: np.ndarray
+    #: Of each language the cells that it has, as 16 bits, their log shares, and the log share of any other cell.
+    tables: tuple[tuple[np.ndarray, np.ndarray, float], ...]
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """Log likelihood of each text under each language over that of evenly spread trigrams, held to ``MOST_TRIGRAMS``."""
         row, cell = _trigrams(texts)
         n = np.bincount(row, minlength=len(texts))
-        sums = np.stack([np.bincount(row, weights=t[cell], minlength=len(texts)) for t in self.table], axis=1) if len(self.languages) else np.zeros((len(texts), 0))
+        sums = np.zeros((len(texts), len(self.languages)))
+        for k, (cells, shares, other) in enumerate(self.tables):
+            table = np.full(CELLS, other)
+            table[cells] = shares
+            sums[:, k] = np.bincount(row, weights=table[cell], minlength=len(texts))
         scale = np.minimum(1.0, MOST_TRIGRAMS / np.maximum(n, 1))
         return (sums + n[:, None] * np.log(CELLS)) * scale[:, None]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, cell and count of the trigrams of rows (lang, text)."""
+    for batch in slices(batches, "text"):
+        langs = batch["lang"].dictionary_encode()
+        code = np.array(langs.indices, dtype=np.int64)
+        row, cell = _trigrams(batch["text"])
+        some, n = np.unique(code[row] * CELLS + cell, return_counts=True)
+        yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(some // CELLS)), pa.array(some % CELLS), pa.array(n)], ["lang", "cell", "n"])
+
+
+def _packed(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """One row of a language's cells, as 16 bits, and counts."""
+    some = rows.filter(rows["cell"].is_valid())
+    columns = [some["cell"].to_numpy().astype(np.uint16).tobytes(), some["n"].to_numpy().astype(np.int64).tobytes()]
+    return pa.RecordBatch.from_arrays([rows["lang"].slice(0, 1), *[pa.array([c], pa.binary()) for c in columns]], ["lang", "cells", "counts"])
+
+
 def fit(docs: DataFrame) -> Trigrams:
-    """Learn each language of ``lang`` from ``MOST_DOCS`` of its texts at most."""
+    """Learn every language of ``lang``, each from ``MOST_DOCS`` of its texts at most."""
     named = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    languages = sorted(r.lang for r in named.select("lang").distinct().limit(256).collect())
-    table = []
-    for language in languages:
-        ids = named.where(F.col("lang") == language).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCS)
-        counts = np.zeros(CELLS)
-        sample = named.where(F.col("lang") == language).join(ids, "doc_id", "left_semi").select("text")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = np.zeros(CELLS, dtype=np.int64)
-            for batch in slices(batches, "text"):
-                own += np.bincount(_trigrams(batch["text"])[1], minlength=CELLS)
-            some = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some])], ["cell", "n"])
-
-        for r in sample.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-            counts[r.cell] = r.n
-        table.append(np.log((counts + 0.1) / (counts + 0.1).sum()))
-    return Trigrams(tuple(languages), np.array(table).reshape(len(languages), CELLS))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = named.select("doc_id", "lang").distinct().withColumn("place", place).where(F.col("place") <= MOST_DOCS).select("doc_id", "lang")
+    # At most MOST_DOCS ids a language are broadcast, so texts needn't be shuffled.
+    sample = named.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    counts = sample.mapInArrow(_counted, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    # Languages whose sample has no trigrams, too.
+    every = named.groupBy("lang").agg(F.lit(None).cast("long").alias("cell"), F.lit(None).cast("long").alias("n"))
+    languages, tables = [], []
+    for r in sorted(by_group(counts.unionByName(every), ["lang"], _packed, "lang string, cells binary, counts binary").collect(), key=lambda r: r.lang):
+        cells, own = np.frombuffer(r.cells, dtype=np.uint16), np.frombuffer(r.counts, dtype=np.int64)
+        total = own.sum() + 0.1 * CELLS
+        languages.append(r.lang)
+        tables.append((cells, np.log((own + 0.1) / total), float(np.log(0.1 / total))))
+    return Trigrams(tuple(languages), tuple(tables))
 
 
 def _text_evidence(rows: DataFrame, model: Trigrams, text: str, out: str) -> DataFrame:
@@ -123,19 +142,24 @@ def fuse(rows: DataFrame, model: Trigrams, text: str, declared: Column, suffix:
     columns may have any names but the three of the result.
     """
     names = [*model.languages, "und"]
-    classes = range(len(names))
     facts = {"f_declared": declared, "f_suffix": suffix, "f_host": host, "f_domain": domain}
     texts = rows.select(F.col(f"`{text}`").alias("f_text"), *[c.alias(k) for k, c in facts.items()])
-    # One pass over the texts leaves one row per combination of facts.
-    counts = [F.sum((F.col("f_best") == k).cast("double")).alias(f"n{k}") for k in classes]
-    cube = materialize(_text_evidence(texts, model, "f_text", "f_evidence").select(*facts, _best("f_evidence").alias("f_best")).groupBy(*facts).agg(*counts))
-    summed = F.array(*[F.sum(f"n{k}") for k in classes])
-
-    all_ = F.array(*[F.coalesce(F.sum(f"n{k}"), F.lit(0.0)) + 1.0 for k in classes])
-    shares = cube.agg(all_.alias("a")).first()["a"]
-    shares = F.array(*[F.lit(x / sum(shares)) for x in shares])
-    by_domain = cube.where("f_domain is not null").groupBy("f_domain").agg(summed.alias("own")).select(F.col("f_domain").alias("d"), _smoothed("own", shares).alias("above"))
-    by_host = cube.where("f_host is not null").groupBy("f_host", "f_domain").agg(summed.alias("own"))
+    # One pass over the texts leaves a row per combination of facts and best class.
+    best = _text_evidence(texts, model, "f_text", "f_evidence").select(*facts, _best("f_evidence").alias("f_best"))
+    cube = materialize(best.groupBy(*facts, "f_best").agg(F.count("*").cast("double").alias("n")))
+
+    def counted(*by: str) -> DataFrame:
+        """``own``, the count of each class, of each combination of ``by``; nulls are combinations."""
+        each = cube.groupBy(*by, "f_best").agg(F.sum("n").alias("n")).groupBy(*by)
+        own = F.map_from_entries(F.collect_list(F.struct("f_best", "n")))
+        return each.agg(own.alias("own")).withColumn("own", F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.coalesce(F.col("own")[k], F.lit(0.0))))
+
+    totals = np.ones(len(names))
+    for r in cube.groupBy("f_best").agg(F.sum("n").alias("n")).collect():
+        totals[r.f_best] += r.n
+    shares = F.array(*[F.lit(float(x)) for x in totals / totals.sum()])
+    by_domain = counted("f_domain").where("f_domain is not null").select(F.col("f_domain").alias("d"), _smoothed("own", shares).alias("above"))
+    by_host = counted("f_host", "f_domain").where("f_host is not null")
     prior = by_host.join(by_domain, F.col("f_domain") == F.col("d"), "left").select(F.col("f_host").alias("h"), F.col("f_domain").alias("hd"), _smoothed("own", F.coalesce("above", shares)).alias("f_prior"))
 
     seen = _text_evidence(rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("f_text"), *[c.alias(k) for k, c in facts.items()]), model, "f_text", "f_evidence").drop("f_text")
@@ -144,7 +168,7 @@ def fuse(rows: DataFrame, model: Trigrams, text: str, declared: Column, suffix:
     for c in ("f_declared", "f_suffix"):
         # P(signal | language) up to a factor: the language's share among the signal's rows over its share of all.
         likelihood = F.zip_with(_smoothed("own", shares), shares, lambda p, q: F.log(p / q))
-        signal = cube.where(f"{c} is not null").groupBy(c).agg(summed.alias("own")).select(F.col(c).alias(f"{c}_is"), likelihood.alias(f"{c}_log"))
+        signal = counted(c).where(f"{c} is not null").select(F.col(c).alias(f"{c}_is"), likelihood.alias(f"{c}_log"))
         seen = seen.join(signal, F.col(c) == F.col(f"{c}_is"), "left")
         odds = F.zip_with(odds, F.coalesce(f"{c}_log", F.array(*[F.lit(0.0)] * len(names))), lambda a, b: a + b)
     scored = seen.withColumn("f_odds", odds)
