@@ -14,7 +14,7 @@ import pytest
 from waymark.llm import language_id, lm_score, packing, quality, token_counts, toxicity, url_rules
 from waymark.llm.common import word_count
 from waymark.llm.mixing import mix, sainte_lague
-from waymark.llm.queries import tokenizer
+from waymark.llm.queries import op6_pack, tokenizer
 
 SF = "/root/testdata/sf0.001"
 EDGES = [None, "", " \n\t ", "one", "x" * 50_000, "a b c " * 20_000]
@@ -154,6 +154,15 @@ def test_packing_has_no_conflicts_and_loses_no_word(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_near_copies_share_no_bin(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    copies = [" ".join(words), " ".join(words).upper(), "  ".join(words[:-1]) + " other", " ".join(words)]
+    rows = [(i if i % 2 else None, t, f"s{i}") for i, t in enumerate(copies)] + [(9, " ".join(f"v{i}" for i in range(60)), "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = collections.Counter((r.shard, r.bin) for r in op6_pack(spark, str(tmp_path)).collect())
+    assert len(bins) == 4 and sorted(bins.values()) == [1, 1, 1, 2]
+
+
 def test_best_fit_equals_a_plain_search():
     rng = random.Random(1)
     sizes = sorted((rng.randint(1, 60) for _ in range(300)), reverse=True)

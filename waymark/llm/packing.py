@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import by_group, materialize, word_count
+from waymark.llm.near_dedup import near_groups
 
 CAPACITY, SHARD_PIECES = 2048, 4096
 
@@ -63,21 +64,32 @@ def _shard(rows: pa.RecordBatch, capacity: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*[rows[c] for c in names], pa.array(bins)], [*names, "bin"])
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, by_source: bool = True) -> DataFrame:
+def near_clusters(docs: DataFrame, width: int = 5, least_percent: int = 80) -> DataFrame:
+    """own and cluster, the text's hash and that of its near duplicates' least, for texts where they differ.
+
+    Texts are named by their hash, so that null and repeated ids don't matter.
+    """
+    groups = near_groups(docs.select(F.xxhash64("text").alias("own"), "text"), width, least_percent, doc_id="own")
+    return groups.where("not kept").select(F.col("doc_id").alias("own"), F.col("component_id").alias("cluster")).distinct()
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, by_source: bool = True, clusters: DataFrame | None = None) -> DataFrame:
     """doc_id, piece, start, n_tokens, shard and bin of each piece of each row of ``docs``.
 
     Tokens are words. Null, empty and wordless texts have no piece. Texts that
-    are equal make a duplicate cluster and never share a bin, nor do, with
+    are equal, or that ``clusters`` (own, cluster) puts together by their
+    xxhash64, make a duplicate cluster and never share a bin, nor do, with
     ``by_source``, two pieces of one source; null sources conflict with
     nothing. Rows that repeat a doc_id are documents of their own. Bins are
     numbered within their shard. No rows give none.
     """
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("source") if by_source else F.lit(None).cast("string")).alias("source"), F.xxhash64("text").alias("cluster"), word_count("text").alias("size"))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("source") if by_source else F.lit(None).cast("string")).alias("source"), F.xxhash64("text").alias("own"), word_count("text").alias("size"))
     sized = materialize(kept.where("size > 0"))
     pieces = sized.agg(F.coalesce(F.sum(F.ceil(F.col("size") / capacity)), F.lit(0))).first()[0]
     shards = max(1, -(-pieces // SHARD_PIECES))
     # A piece's shard follows from its own row, so the texts of a large cluster spread over all shards.
-    numbered = sized.withColumn("row", F.xxhash64("doc_id", "cluster", "size"))
+    placed = sized.join(clusters, "own", "left").withColumn("cluster", F.coalesce("cluster", "own")) if clusters is not None else sized.withColumn("cluster", F.col("own"))
+    numbered = placed.withColumn("row", F.xxhash64("doc_id", "own", "size"))
     cut = numbered.select("doc_id", "row", "source", "cluster", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / capacity).cast("int") - 1)).alias("piece"))
     start = F.col("piece").cast("long") * capacity
     cut = cut.select("doc_id", "row", "source", "cluster", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("size") - start).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"))

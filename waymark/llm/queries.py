@@ -14,7 +14,7 @@ from waymark.llm.language_id import page_languages
 from waymark.llm.lm_score import score
 from waymark.llm.mixing import mix
 from waymark.llm.near_dedup import near_groups
-from waymark.llm.packing import pack
+from waymark.llm.packing import near_clusters, pack
 from waymark.llm.quality import quality
 from waymark.llm.token_counts import Rollup, deltas, token_counts
 from waymark.llm.toxicity import toxicity
@@ -61,7 +61,8 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return pack(docs, clusters=near_clusters(docs))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
