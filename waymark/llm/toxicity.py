@@ -1,27 +1,33 @@
-"""Toxicity by compression distance.
-
-Two zstandard dictionaries are trained, one on words typical of toxic texts and
-one on ordinary words; both stand behind a base trained on all of them, which
-sets the entropy tables, so the lengths of one word differ only by what each
-dictionary knows of it.  A window is one word, written four times so that frame
-costs don't hide it, of a text in lower case without punctuation.  A window's
-two lengths fall into a cell of a table (bytes saved by the toxic dictionary,
-bytes that remain), which labelled rows held back from the dictionaries
-calibrate: how much oftener words of toxic texts fall there than words of
-ordinary ones.  A text's evidence sums over its distinct words the log
-likelihood that a share ``SHARE`` of its words is of the toxic kind; the score
-is the posterior probability.
-
-The dictionaries and the table are fitted on a bounded sample of labelled rows,
-in the order of a hash of doc_id: ``MOST_DOCS`` and ``MOST_BYTES`` per class.
+"""Toxicity by compression distance of text windows.
+
+A text in lower case without punctuation is read in windows of ``WORDS``
+consecutive words.  Each window is compressed with two zstandard dictionaries,
+one trained on windows of toxic texts and one on windows of ordinary texts.
+Both have the same entropy tables and the same large body of ordinary text,
+so a window's two lengths differ only where the part of one class serves it
+better; the class's part lies behind the body, so that it is used for longer
+matches only.  A window is written twice, which hides the frame's cost.
+
+The toxic part is trained on the windows of each half of the toxic texts that a
+dictionary of the other half shortens, the ordinary part on the ordinary
+windows that the toxic part shortens.  Labelled rows held back from both give,
+for each window length and each difference of lengths, how much oftener it
+occurs in toxic texts; lengths and differences that reach ``LEAST_RATIO`` count.
+A text's evidence is the log mean over its segments of ``SEGMENT`` windows of
+the summed log ratios, so that a toxic passage shows in a text of any length.
+The cut is the evidence that ``MOST_FALSE`` of the held-back ordinary texts
+reach.
+
+Fitting takes a bounded sample of labelled rows, in the order of a hash of
+doc_id: ``MOST_DOCS`` rows and ``MOST_BYTES`` per class, of which dictionaries
+read ``MOST_TRAINING`` bytes.  A text that does not fit is passed over.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -32,164 +38,254 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm.common import slices
-from waymark.llm.shingles import text_buffers, word_hashes
 
 MOST_DOCS = {1: 3000, 0: 4000}
-MOST_BYTES = 12 << 20
-BASE_BYTES, OWN_BYTES, LEVEL, TIMES = 64 << 10, 8 << 10, 9, 4
-#: Ordinary texts that train the base and the ordinary dictionary, at most.
-TRAINING_DOCS = 1500
-SHARE, PRIOR = 0.02, 0.01
-#: The prior is raised up to this while at most ``MOST_FALSE`` of the calibration's ordinary texts reach the cut.
-MOST_PRIOR, CUT, MOST_FALSE = 0.1, 0.7, 0.005
-#: Cells of the table: bytes saved 0-11, bytes that remain 0-31.
-SAVED, LEFT = 12, 32
-#: A cell counts as evidence from this likelihood ratio on.
-EVIDENCE = 1000.0
-#: Words whose cell a task remembers.
-REMEMBERED = 1 << 20
-
-_PLAIN = np.arange(256, dtype=np.uint8)
-_PLAIN[65:91] += 32
+MOST_BYTES, MOST_TRAINING = 12 << 20, 3 << 20
+#: Words of a window, windows of a segment, and bytes after which a long word is cut.
+WORDS, SEGMENT, LONGEST = 3, 400, 64
+#: zstandard's level, which parses short inputs in full, and the dictionaries' body in bytes.
+LEVEL, BODY = 16, 64 << 10
+#: Bytes of a class's part and rounds of refinement; held-back rows choose among them.
+SHAPES = ((4 << 10, 1), (8 << 10, 2))
+#: Cells of the table: difference in bytes, and raw length of the window in steps of six bytes.
+LOW, HIGH, LENGTHS = -8, 16, 16
+LEAST_RATIO, MOST_FALSE, CUT = 3.0, 0.005, 0.7
+#: The least evidence that a cut may stand at, and the score of texts when nothing could be learned.
+LEAST_CUT, PRIOR = 2.0, 0.01
+#: Bytes of the strings by which windows are chosen for compression, and bits of their hash.
+GRAM, GRAM_BITS = 7, 22
+#: Windows that are compressed at a time.
+BATCH = 1 << 16
+
+_PLAIN = bytearray(range(256))
+for _c in range(65, 91):
+    _PLAIN[_c] += 32
 for _c in b"\t\n\r\x0b\x0c.,;:!?\"'()|[]{}<>*#$%&/\\+=~^_`@-":
     _PLAIN[_c] = 32
+_PLAIN = bytes(_PLAIN)
+#: Ends the head of a zstandard dictionary: its three recommended repeat offsets.
+_HEAD_END = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
-    """Row and hash of each word of the texts, the plain bytes, and where each word begins and ends."""
-    raw, offs = text_buffers(texts)
-    plain = _PLAIN[raw]
-    hashes, bounds = word_hashes(plain, offs)
-    inside = plain != 32
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    n = len(plain)
-    starts, ends = offs[:-1][offs[:-1] < n], offs[1:][offs[1:] > 0] - 1
-    first[starts], last[ends] = inside[starts], inside[ends]
-    rows = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    return rows, hashes, bounds, plain.tobytes(), np.flatnonzero(first), np.flatnonzero(last) + 1
+def _words(text: str | None) -> list[bytes]:
+    words = text.encode().translate(_PLAIN).split() if text else []
+    if any(len(w) > LONGEST for w in words):
+        words = [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
+    return words
 
 
-def _logit(p: float) -> float:
-    return math.log(p / (1 - p))
+@dataclass
+class Windows:
+    """The windows of some texts: plain text, where each window, with the blanks about it, begins and ends, and how many each text has."""
 
+    plain: bytes
+    begin: np.ndarray
+    end: np.ndarray
+    rows: np.ndarray
 
-def _distinct(texts: list[str], known: dict[bytes, bytes]) -> list[tuple[bytes, ...]]:
-    """The sorted distinct words of each text; ``known`` lets texts share their words."""
-    found = (bytes(_PLAIN[np.frombuffer(t.encode(), dtype=np.uint8)]).split() for t in texts)
-    return [tuple(sorted(known.setdefault(w, w) for w in set(words))) for words in found]
+    @classmethod
+    def of(cls, texts: Iterable[str | None]) -> Windows:
+        words = [_words(t) for t in texts]
+        plain = b"".join([b" " + b" ".join(w) + b" " for w in words])
+        blanks = np.flatnonzero(np.frombuffer(plain, dtype=np.uint8) == 32)
+        n = np.array([len(w) for w in words], dtype=np.int64)
+        # A text of no words is two blanks; one of fewer words than a window is one window.
+        first = np.cumsum(np.where(n > 0, n + 1, 2)) - np.where(n > 0, n + 1, 2)
+        rows = np.where(n > 0, np.maximum(n - WORDS + 1, 1), 0)
+        place = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows) + np.repeat(first, rows)
+        return cls(plain, blanks[place], blanks[place + np.repeat(np.minimum(n, WORDS), rows)] + 1, rows)
 
+    @classmethod
+    def listed(cls, found: list[bytes]) -> Windows:
+        size = np.array([len(w) for w in found], dtype=np.int64)
+        return cls(b"".join(found), np.cumsum(size) - size, np.cumsum(size), np.ones(len(found), dtype=np.int64))
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
-    """A dictionary of the samples; too few of them are its content as they are."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+    def texts(self, some: np.ndarray | None = None) -> list[bytes]:
+        begin, end = (self.begin, self.end) if some is None else (self.begin[some], self.end[some])
+        return [self.plain[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
-def _listed(words: dict[bytes, int]) -> bytes:
-    """The most frequent words within ``OWN_BYTES``, rarest first."""
-    return b"".join([w + b" " for w in sorted(words, key=lambda w: (words[w], w))])[-OWN_BYTES:]
+def windows(text: str | None) -> list[bytes]:
+    """The windows of a text."""
+    return Windows.of([text]).texts()
 
 
-@lru_cache(4)
+@lru_cache(8)
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    # Digested beforehand, so that all of the dictionary is searched however short the window.
     known = zstandard.ZstdCompressionDict(content)
     known.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
 
 
+def _sizes(content: bytes, found: list[bytes], threads: int) -> np.ndarray:
+    """The compressed length of each window, written twice."""
+    size = np.array([2 * len(w) for w in found], dtype=np.uint64)
+    places = np.stack([np.cumsum(size) - size, size], axis=1).tobytes()
+    text = zstandard.BufferWithSegments(b"".join([w + w for w in found]), places)
+    return np.fromiter(map(len, _compressor(content).multi_compress_to_buffer(text, threads=threads)), dtype=np.int64, count=len(found))
+
+
+def _grams(text: bytes) -> np.ndarray:
+    """A hash of ``GRAM_BITS`` bits of the ``GRAM`` bytes that begin at each place."""
+    raw = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(raw) - GRAM + 1), dtype=np.uint64)
+    for k in range(GRAM):
+        out = out << np.uint64(8) | raw[k : k + len(out)]
+    return ((out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+
+
+@lru_cache(4)
+def _own_grams(base: bytes, toxic: bytes, ordinary: bytes) -> np.ndarray:
+    """Which strings of ``GRAM`` bytes a class's part has and the base has not."""
+    own = np.zeros(1 << GRAM_BITS, dtype=bool)
+    for part in (toxic, ordinary):
+        own[_grams(part)] = True
+    own[_grams(base)] = False
+    return own
+
+
 @dataclass(frozen=True)
 class Toxicity:
-    """What :func:`fit` learns; small, so it travels with the tasks."""
+    """What :func:`fit` learns, under 100 KB, so it travels with the tasks."""
 
+    base: bytes
     toxic: bytes
     ordinary: bytes
     evidence: np.ndarray
-    prior: float = PRIOR
-
-    def lengths(self, words: list[bytes]) -> np.ndarray:
-        """The cell of each word."""
-        text = b"".join([(w + b" ") * TIMES for w in words])
-        size = np.array([(len(w) + 1) * TIMES for w in words], dtype=np.uint64)
-        windows = np.stack([np.cumsum(size) - size, size], axis=1).tobytes()
-
-        def packed(content: bytes) -> np.ndarray:
-            out = _compressor(content).multi_compress_to_buffer(zstandard.BufferWithSegments(text, windows), threads=1)
-            return np.fromiter(map(len, out), dtype=np.int64, count=len(words))
-
-        ordinary, toxic = packed(self.ordinary), packed(self.toxic)
-        return np.clip(ordinary - toxic, 0, SAVED - 1) * LEFT + np.clip(toxic, 0, LEFT - 1)
-
-    def scores(self, texts: pa.Array, known: dict) -> np.ndarray:
-        """The posterior of each text; ``known`` remembers words between calls."""
-        rows, hashes, _, plain, begin, end = _words(texts)
-        total = np.zeros(len(texts))
-        if len(hashes):
-            distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(known.get("hash", ())) > REMEMBERED or not known:
-                known["hash"], known["cell"] = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-            where = np.searchsorted(known["hash"], distinct)
-            old = np.zeros(len(distinct), dtype=bool)
-            inner = where < len(known["hash"])
-            old[inner] = known["hash"][where[inner]] == distinct[inner]
-            cells = np.empty(len(distinct), dtype=np.int64)
-            cells[old] = known["cell"][where[old]]
-            new = np.flatnonzero(~old)
-            if len(new):
-                cells[new] = self.lengths([plain[a:b] for a, b in zip(begin[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
-                known["hash"] = np.insert(known["hash"], where[new], distinct[new])
-                known["cell"] = np.insert(known["cell"], where[new], cells[new])
-            pairs = np.unique(rows * len(distinct) + which.ravel())
-            total = np.bincount(pairs // len(distinct), weights=self.evidence[cells[pairs % len(distinct)]], minlength=len(texts))
-        odds = np.clip(total + _logit(self.prior), -700, 700)
-        return 1 / (1 + np.exp(-odds))
+    cut: float = LEAST_CUT
+
+    def dictionary(self, own: bytes) -> bytes:
+        """The base's head, the class's part, the base's body."""
+        at = self.base.find(_HEAD_END, 0, 4096)
+        at = at + len(_HEAD_END) if at >= 0 else 0
+        return self.base[:at] + own.rjust(max(len(self.toxic), len(self.ordinary)), b"\n") + self.base[at:]
+
+    def differences(self, found: Windows, threads: int = 1) -> np.ndarray:
+        """Bytes by which the toxic dictionary makes each window shorter than the ordinary one.
+
+        A window none of whose strings of ``GRAM`` bytes is in a class's part
+        only has nothing to gain there: its difference is 0.
+        """
+        out = np.zeros(len(found.begin), dtype=np.int64)
+        own = _own_grams(self.base, self.toxic, self.ordinary)
+        marks = np.zeros(len(found.plain) + 1, dtype=np.int32)
+        for at in range(0, len(found.plain), 1 << 18):
+            here = own[_grams(found.plain[at : at + (1 << 18) + GRAM - 1])]
+            marks[at + 1 : at + 1 + len(here)] = here
+        np.cumsum(marks, out=marks)
+        some = np.flatnonzero(marks[np.maximum(found.end - GRAM + 1, found.begin)] > marks[found.begin])
+        pair = [self.dictionary(self.ordinary), self.dictionary(self.toxic)]
+        for at in range(0, len(some), BATCH):
+            texts = found.texts(some[at : at + BATCH])
+            out[some[at : at + BATCH]] = _sizes(pair[0], texts, threads) - _sizes(pair[1], texts, threads)
+        return out
+
+    def cells(self, found: Windows, threads: int = 1) -> np.ndarray:
+        length = np.minimum((found.end - found.begin) // 6, LENGTHS - 1)
+        return length * (HIGH - LOW + 1) + np.clip(self.differences(found, threads), LOW, HIGH) - LOW
+
+    def of_texts(self, texts: list[str | None], threads: int = 1) -> np.ndarray:
+        """The evidence of each text; 0 without words."""
+        found = Windows.of(texts)
+        worth = self.evidence[self.cells(found, threads)]
+        ends = np.cumsum(found.rows).tolist()
+        return np.array([_log_mean(worth[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Between 0 and 1; ``CUT`` where the evidence stands at the model's cut."""
+        return 1 / (1 + np.exp(-np.clip(self.of_texts(texts) - self.cut + math.log(CUT / (1 - CUT)), -700, 700)))
+
+
+def _log_mean(worth: np.ndarray) -> float:
+    """The log of the mean over segments of exp(summed evidence)."""
+    if not len(worth):
+        return 0.0
+    sums = np.add.reduceat(worth, np.arange(0, len(worth), SEGMENT))
+    return float(sums.max() + np.log(np.exp(sums - sums.max()).mean()))
+
+
+def _part(size: int, found: list[bytes]) -> bytes:
+    """What a dictionary of ``size`` bytes holds after training; too few windows are its content as they are."""
+    try:
+        whole = zstandard.train_dictionary(max(size, 1024), found, k=16, d=8, f=20, accel=1, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(found)[-size:]
+    at = whole.find(_HEAD_END, 0, 4096)
+    return whole[at + len(_HEAD_END) if at >= 0 else 0 :][-size:]
+
+
+def _model(base: bytes, toxic: bytes, ordinary: bytes) -> Toxicity:
+    return Toxicity(base, toxic, ordinary, np.zeros(LENGTHS * (HIGH - LOW + 1)))
+
+
+def _training(texts: list[str]) -> int:
+    """How many texts make the dictionaries: two thirds, or what ``MOST_TRAINING`` bytes hold; the rest calibrate."""
+    size = np.cumsum([len(t.encode()) for t in texts])
+    return max(1, min(len(texts) * 2 // 3, int(np.searchsorted(size, MOST_TRAINING, side="right"))))
+
+
+def _candidate(base: bytes, halves: list[list[bytes]], plain: list[bytes], size: int, rounds: int) -> Toxicity:
+    ordinary, parts = b"", [_part(size, h) for h in halves]
+    for _ in range(rounds):
+        mined = []
+        for own, other in zip(halves, parts[::-1], strict=True):
+            saved = _model(base, other, ordinary).differences(Windows.listed(own), -1)
+            order = np.argsort(-saved, kind="stable")[: max(100, len(own) // 20)]
+            mined.append([own[i] for i in order.tolist() if saved[i] > 0])
+        parts = [_part(size, m or own) for m, own in zip(mined, halves, strict=True)]
+        toxic = _part(size, mined[0] + mined[1] or halves[0] + halves[1])
+        saved = _model(base, toxic, b"").differences(Windows.listed(plain), -1)
+        ordinary = _part(2 * size, [plain[i] for i in np.flatnonzero(saved > 1).tolist()])
+    return _model(base, toxic, ordinary)
+
+
+def _table(counts: np.ndarray) -> np.ndarray:
+    """Shares of the differences at each window length, drawn towards those at all lengths."""
+    counts = counts.reshape(LENGTHS, -1)
+    every = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * counts.shape[1])
+    return ((counts + 20 * every) / (counts.sum(axis=1, keepdims=True) + 20)).ravel()
+
+
+def _calibrated(model: Toxicity, toxic: list[str], ordinary: list[str]) -> tuple[float, Toxicity]:
+    """The model with its table and cut, and the share of toxic texts that it finds at that cut."""
+    counts = []
+    for texts in (toxic, ordinary):
+        n = np.zeros(LENGTHS * (HIGH - LOW + 1))
+        for at in range(0, len(texts), 50):
+            n += np.bincount(model.cells(Windows.of(texts[at : at + 50]), -1), minlength=len(n))
+        counts.append(n)
+    ratio = _table(counts[0]) / _table(counts[1])
+    kept = ratio >= LEAST_RATIO
+    left = [1 - n[kept].sum() / max(1.0, n.sum()) for n in counts]
+    evidence = np.where(kept, np.log(np.minimum(ratio, 1000.0)), math.log(max(left[0], 0.01) / max(left[1], 0.01)))
+    model = replace(model, evidence=np.minimum(evidence, np.where(kept, evidence, 0.0)))
+    clean, found = (np.concatenate([model.of_texts(x[at : at + 50], -1) for at in range(0, len(x), 50)]) for x in (ordinary, toxic))
+    clean = np.sort(clean)
+    cut = max(LEAST_CUT, float(clean[min(len(clean) - 1, int((1 - MOST_FALSE) * len(clean)))]) + 0.25)
+    return float((found >= cut).mean()), replace(model, cut=cut)
 
 
 def fit_texts(toxic: list[str], ordinary: list[str]) -> Toxicity | None:
-    """Learn from texts; two thirds make the dictionaries, a third the table. None without both classes."""
+    """Learn from texts; two thirds make the dictionaries, a third the table and the cut. None without both classes."""
+    toxic, ordinary = ([t for t in x if windows(t)] for x in (toxic, ordinary))
     if not toxic or not ordinary:
         return None
-    shared: dict[bytes, bytes] = {}
-    sets = {1: _distinct(toxic, shared), 0: _distinct(ordinary, shared)}
-    part = {y: max(1, len(s) * 2 // 3) for y, s in sets.items()}
-    often = {y: Counter(w for s in sets[y][: part[y]] for w in s) for y in sets}
-    least = max(2, round(0.003 * part[1]))
-    typical = {w: n for w, n in often[1].items() if n >= least and n / part[1] >= 20 * (often[0][w] + 0.5) / part[0]}
-    toxic_words = [w + b" " for s in sets[1][: part[1]] for w in s if w in typical]
-    plain_words = [w + b" " for s in sets[0][: min(part[0], TRAINING_DOCS)] for w in s]
-    if not toxic_words or not plain_words:
-        return None
-    four = lambda words: [b"".join(words[i : i + 4]) for i in range(0, len(words), 4)]
-    base = _trained(BASE_BYTES, four(plain_words[0::2])[:100_000])
-    # A trained part, then the class's own words, the most frequent last and so nearest.
-    toxic_own = _trained(OWN_BYTES, four(toxic_words)) + _listed(typical)
-    plain = {w: often[0][w] for w in often[0]}
-    plain_own = _trained(OWN_BYTES, four(plain_words[1::2])[:20_000]) + _listed(plain)
-    size = min(len(toxic_own), len(plain_own))
-    model = Toxicity(base + toxic_own[-size:], base + plain_own[-size:], np.zeros(SAVED * LEFT))
-
-    cells, known = {}, {}
-    for y, s in sets.items():
-        words = [w for x in (s[part[y] :] or s) for w in x]
-        distinct = sorted(set(words))
-        known |= dict(zip(distinct, model.lengths(distinct).tolist(), strict=True)) if distinct else {}
-        cells[y] = np.bincount([known[w] for w in words], minlength=SAVED * LEFT).astype(float)
-    n1, n0 = max(1.0, cells[1].sum()), max(1.0, cells[0].sum())
-    ratio = ((cells[1] + n1 / n0) / n1) / ((cells[0] + 1) / n0)
-    ratio = np.maximum((ratio - (1 - SHARE)) / SHARE, 0)
-    floor = min(EVIDENCE, 0.1 * ratio.max())
-    kept = ratio >= floor
-    evidence = np.where(kept, np.log1p(SHARE * (ratio - 1).clip(0)), 0.0)
-    rest = max(1e-9, 1 - SHARE * min(0.9, cells[1][kept].sum() / n1 / SHARE))
-    evidence[~kept] = math.log(rest) * 0.25
-    totals = np.sort([sum(evidence[known[w]] for w in x) for x in (sets[0][part[0] :] or sets[0])])
-    highest = totals[min(len(totals) - 1, int((1 - MOST_FALSE) * len(totals)))]
-    prior = 1 / (1 + math.exp(highest - _logit(CUT)))
-    return Toxicity(model.toxic, model.ordinary, evidence, min(MOST_PRIOR, max(PRIOR, 0.9 * prior)))
+    part = {y: _training(x) for y, x in ((1, toxic), (0, ordinary))}
+    plain = sorted({w for t in ordinary[: part[0]] for w in windows(t)})
+    np.random.default_rng(1).shuffle(plain)
+    known = set(plain)
+    halves = [sorted({w for t in toxic[h : part[1] : 2] for w in windows(t) if w not in known}) for h in (0, 1)]
+    try:
+        base = zstandard.train_dictionary(BODY, plain, k=16, d=8, f=20, accel=1, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        base = b"".join(plain)[-BODY:]
+    best = None
+    for size, rounds in SHAPES:
+        model = _candidate(base, halves, plain, size, rounds)
+        found = _calibrated(model, toxic[part[1] :] or toxic, ordinary[part[0] :] or ordinary)
+        if best is None or found[0] > best[0]:
+            best = found
+    return best[1]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -200,13 +296,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def _sample(docs: DataFrame, labels: DataFrame, label: int) -> list[str]:
     ids = labels.where((F.col("toxic") == label) & ~held_out()).select("doc_id").distinct()
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCS[label])
-    rows = docs.where("text is not null").join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text")
+    # At most MOST_DOCS ids, so they are broadcast; longer texts could not fit in the sample.
+    rows = docs.where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").limit(2 * MOST_DOCS[label])
     out, left = [], MOST_BYTES
     for row in rows.toLocalIterator():
-        left -= len(row.text)
-        if left < 0:
-            break
-        out.append(row.text)
+        size = len(row.text.encode())
+        if size <= left:
+            left -= size
+            out.append(row.text)
     return out
 
 
@@ -217,14 +315,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity | None:
 
 
 def with_scores(docs: DataFrame, model: Toxicity | None, score: str, text: str = "text") -> DataFrame:
-    """``docs`` with the score of each whole text; null and empty texts and all texts without a model get the prior."""
+    """``docs`` with the score of each whole text; null and empty texts have no evidence, all texts without a model get ``PRIOR``."""
     if model is None:
         return docs.withColumn(score, F.lit(PRIOR))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for batch in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch[text], known))], [*batch.schema.names, score])
+            found = model.scores(batch[text].to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, score])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
@@ -232,9 +330,10 @@ def with_scores(docs: DataFrame, model: Toxicity | None, score: str, text: str =
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= ``cut``) for every row of ``docs``.
 
-    Null and empty texts get the prior. Rows that repeat a doc_id are scored
-    each; of labels that repeat a doc_id or are null, each stated class counts
-    once. Further columns are not read, and no rows give none.
+    Null and empty texts have no evidence, which is below the cut. Rows that
+    repeat a doc_id are scored each; of labels that repeat a doc_id or are null,
+    each stated class counts once. Further columns are not read, whatever their
+    names, and no rows give none. Very long texts are scored whole, in segments.
     """
     scored = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels), "score")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
