@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -313,8 +314,8 @@ def test_more_than_256_languages(spark):
 def test_url_rules(spark):
     rows = [(1, "https://WWW.Example.com/en/x?y#z"), (2, "http://m.example.com/en/"), (3, "http://shop.com"), (4, "http://a.net/fr/1"), (5, "http://a.net/en/1"), (6, None), (7, "example.com/en/"), (8, "http://a.com/?://b.net/es/"), (9, "http://xexample.com/en/")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.url_verdicts(pages, labels).collect()}
+    none = spark.createDataFrame([], "url string, blocked boolean")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.url_verdicts(pages, none).collect()}
     assert got[1] == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
     assert got[2] == ("m.example.com", "/en/", "example.com/en/", "block")
     assert got[3] == ("shop.com", "", None, "allow")
@@ -323,30 +324,54 @@ def test_url_rules(spark):
     assert got[8] == ("a.com", "/", "com/", "allow") and got[9][2:] == ("com/", "allow")
 
 
-def test_association_rules_against_brute_force(spark):
+def _tokens(u):
+    scheme, rest = u.split("://")
+    host, path = rest.split("/", 1)
+    return {f"scheme:{scheme}", *[f"host:{x}" for x in host.split(".")], *[f"path:{x}" for x in path.split("/") if x]}
+
+
+def test_association_rules_equal_enumeration(spark):
     rng = random.Random(3)
-    urls = [f"http://h{rng.randint(0, 5)}.org/{rng.choice(['spam', 'news', 'blog'])}/{rng.choice(['a', 'b'])}" for _ in range(400)]
-    rows = [(u, "/spam/" in u and u.endswith("a")) for u in urls]
-    frame = spark.createDataFrame(rows, "url string, blocked boolean")
-    rules = url_rules.mine(frame, min_support=0.01, min_confidence=0.9)
-    assert ["path:a", "path:spam"] in [sorted(r.tokens) for r in rules.collect()]
-    found = {r.url for r in url_rules.matches(frame.select("url"), rules).collect()}
-    assert found == {u for u, blocked in rows if blocked}
+    urls = [f"http://h{rng.randint(0, 3)}.org/{rng.choice(['spam', 'news', 'blog'])}/{rng.choice(['a', 'b', 'c'])}" for _ in range(600)]
+    rows = [(u, rng.random() < (0.9 if "/spam/" in u and u.endswith("a") else 0.7 if "h1" in u else 0.05)) for u in urls]
+    frame = spark.createDataFrame([*rows, (None, True), ("http://z.org/x/a", None)], "url string, blocked boolean")
+    sets = [(_tokens(u), b) for u, b in rows]
+    every = sorted(set().union(*(t for t, _ in sets)))
+    base, found = sum(b for _, b in sets) / len(sets), {}
+    for n in range(1, 5):
+        for combo in itertools.combinations(every, n):
+            met = [b for t, b in sets if t.issuperset(combo)]
+            right = sum(met)
+            if right >= max(0.002 * len(sets), 20) and right / len(met) >= max(0.5, 2 * base) and not any(set(c).issubset(combo) and conf >= right / len(met) for c, (conf, _) in found.items()):
+                found[combo] = (right / len(met), right / len(sets))
+    rules = url_rules.mine(frame).collect()
+    # Tokens that always occur together are named by the least of them.
+    assert {tuple(r.tokens): (pytest.approx(r.confidence), pytest.approx(r.support)) for r in rules} == found and found
+    got = {r.url: r.n_rules for r in url_rules.matches(frame.select("url"), url_rules.mine(frame)).collect()}
+    want = {u: n for u in set(urls) if (n := sum(_tokens(u).issuperset(c) for c in found))}
+    assert got == want | ({"http://z.org/x/a": n} if (n := sum(_tokens("http://z.org/x/a").issuperset(c) for c in found)) else {})
 
 
 def test_redundant_rules_push_out_no_other(spark):
-    spam = [(f"http://x/{'/'.join(f't{k}w{j}' for j in range(8))}", True) for k in range(110) for _ in range(20)]
+    spam = [(f"http://x/{'/'.join(f't{k}w{j}' for j in range(40))}", True) for k in range(110) for _ in range(20)]
     useful = [("http://y/useful", i < 27) for i in range(30)]
-    frame = spark.createDataFrame(spam + useful, "url string, blocked boolean")
-    tokens = [r.tokens for r in url_rules.mine(frame).collect()]
-    assert ["path:useful"] in tokens and len(tokens) == len(set(map(tuple, tokens)))
-    assert all(len(t) == 1 for t in tokens)
+    plain = [(f"http://z/{i}x", False) for i in range(3000)]
+    rules = url_rules.mine(spark.createDataFrame(spam + useful + plain, "url string, blocked boolean"), min_support=0.001).collect()
+    tokens = [tuple(r.tokens) for r in rules]
+    # host:y is the least of the tokens that only those URLs have; one rule per template and one for all of them.
+    assert ("host:y",) in tokens and len(tokens) == len(set(tokens)) and all(len(t) == 1 for t in tokens)
 
 
 def test_rules_of_four_tokens_are_learned(spark):
     kinds = [["a", "b", "c", "d"], ["a", "b", "c", "x"], ["a", "b", "x", "d"], ["a", "x", "c", "d"], ["x", "b", "c", "d"]]
-    rows = [(f"http://h/{'/'.join(k)}", "x" not in k) for k in kinds for _ in range(25)]
+    rows = [(f"http://h/{'/'.join(k)}", "x" not in k) for k in kinds for _ in range(25)] + [("http://h/other", False)] * 200
     frame = spark.createDataFrame(rows, "url string, blocked boolean")
-    rules = url_rules.mine(frame)
+    rules = url_rules.mine(frame, min_confidence=0.8)
     assert [r.tokens for r in rules.collect()] == [["path:a", "path:b", "path:c", "path:d"]]
     assert [r.url for r in url_rules.matches(frame, rules).collect()] == ["http://h/a/b/c/d"]
+
+
+def test_labels_concern_the_document_that_a_page_shows(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/7.html"), (2, "http://a.com/en/8/?q"), (3, "http://a.com/xx"), (4, None), (5, "http://a.com/en/7")], "page_id long, url string")
+    labels = spark.createDataFrame([(7, 0, 0), (7, 0, 1), (8, 1, 0), (8, 0, 0), (1, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, url_rules.labelled_urls(pages, labels).collect())) == [("http://a.com/en/7", True), ("http://a.com/en/7.html", True), ("http://a.com/en/8/?q", False)]

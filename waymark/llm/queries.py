@@ -18,7 +18,7 @@ from waymark.llm.packing import near_clusters, pack
 from waymark.llm.quality import quality
 from waymark.llm.token_counts import Rollup, deltas, token_counts
 from waymark.llm.toxicity import toxicity
-from waymark.llm.url_rules import url_verdicts
+from waymark.llm.url_rules import labelled_urls, url_verdicts
 
 #: The folder of public tokenizer files.
 TOKENIZERS = "/opt/tokenizers"
@@ -66,7 +66,8 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_verdicts(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    pages = _table(spark, sf_dir, "pages")
+    return url_verdicts(pages, labelled_urls(pages, _table(spark, sf_dir, "labels")))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
