@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a task holds as numpy arrays at a time (one row may exceed it).
 SLICE_BYTES = 1 << 20
+#: Bytes of a shuffle partition, and keys that are joined by broadcast at most.
+PARTITION_BYTES, HOT = 64 << 20, 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +23,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; in local mode, where that is unset, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='waymark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -90,13 +94,17 @@ def word_count(text: str):
     return F.length(F.translate(trimmed, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
-def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``fn`` to the rows of each key; a key's rows must fit in memory.
+def partitions(spark: SparkSession, size: int = 0) -> int:
+    """Shuffle partitions: those configured, or as many as hold ``PARTITION_BYTES`` of ``size`` each if that is more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+
+
+def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, size: int = 0) -> DataFrame:
+    """Apply ``fn`` to the rows of each key; a key's rows must fit in memory, ``size`` is about the bytes of all.
 
     Many small groups cost one pass over sorted rows instead of a call to
     Spark's grouped functions each.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -122,15 +130,17 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], pa.R
         if (out := fn(rows)) is not None:
             yield out
 
-    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(partitions(df.sparkSession, size), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def block_pairs(df: DataFrame, node: str, size: str, block: int) -> DataFrame:
-    """Deal groups of ``size`` rows out as pairs (i, j) of blocks; ``own`` is a row's block.
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row per key and, as ``n``, how many of ``rows`` have it.
 
-    Any two rows of a group meet in exactly one pair of blocks, or, of one
-    block, in all that have it.
+    Keys of more than a ``HOT``th of the ``total`` rows, of which there are fewer
+    than ``HOT``, are broadcast, so that no task gets all rows of one of them; the
+    others are joined by shuffling. Rows of no fact, and of null keys, go.
     """
-    k = F.ceil(F.col(size) / block).cast("int")
-    rows = df.withColumn("own", F.pmod(F.hash(node), k)).withColumn("other_block", F.explode(F.sequence(F.lit(0), k - 1)))
-    return rows.withColumn("i", F.least("own", "other_block")).withColumn("j", F.greatest("own", "other_block")).drop("other_block")
+    hot = facts.where(F.col(n) > total / HOT).drop(n)
+    warm = facts.where(F.col(n) <= total / HOT).drop(n)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(warm, key))

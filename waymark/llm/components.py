@@ -1,8 +1,9 @@
 """Connected components of a distributed edge list, by alternating large and small stars.
 
-Every round is two aggregations and two equi-joins over the edges; hot nodes
-are pre-aggregated before the shuffle and AQE splits the skewed side of the
-joins. Rounds are cut by tables in the shared folder, so a lost executor
+Every round is two aggregations and two equi-joins over the edges.  The
+aggregations combine before the shuffle, and the nodes with most edges, at most
+``HOT`` of them, are joined by broadcast, so that a star's centre is no task of
+its own.  Rounds are cut by tables in the shared folder, so a lost executor
 repeats one round at most.
 """
 
@@ -12,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import forget, materialize
+from waymark.llm.common import forget, join_hot, materialize
 
 
 def local_roots(linked: np.ndarray) -> np.ndarray:
@@ -26,23 +27,25 @@ def local_roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-    return both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
+    least = both.groupBy("src").agg(F.least("src", F.min("dst")).alias("m"), F.count("*").alias("n"))
+    return join_hot(both, least, "src", "n", 2 * total).where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("src").agg(F.min("dst").alias("m"))
-    moved = down.join(least, "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    least = down.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n"))
+    moved = join_hot(down, least, "src", "n", total).where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     return moved.unionByName(least.select("src", F.col("m").alias("dst"))).distinct()
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 64) -> DataFrame:
     """``(node, root)`` for each node with an edge to another, ``root`` the least node reachable.
 
-    Null ends and loops are ignored; repeated edges count once; no edges give no rows.
+    Null ends and loops are ignored; repeated edges count once; no edges give no
+    rows. Rounds grow with the logarithm of the nodes; should they not settle in
+    ``most_rounds``, that is an error.
     """
     edges = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst")
     edges = materialize(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
@@ -52,7 +55,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         if state == before or not state[0]:
             break
         before, old = state, edges
-        edges = materialize(_small_star(_large_star(edges)))
+        # Large stars keep about the number of edges, so it does for both joins.
+        edges = materialize(_small_star(_large_star(edges, state[0]), state[0]))
         forget(spark, old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -11,8 +11,10 @@ Pairs are never listed.  Texts with equal shingle sets collapse to one node.
 The nodes of one key go to the group of the key's least node, so two nodes that
 share a key share a group, and a node is in at most 32.  A group holds the full
 shingle sets, counts all its intersections at once as products of an incidence
-matrix, and gives one edge per linked node to its local component.  Groups of
-more than ``BLOCK`` nodes are dealt out as pairs of blocks.
+matrix, and gives one edge per linked node to its local component.  A group of
+more than ``BLOCK`` nodes is dealt out as chunks, each with the group's least node:
+whoever reaches that node within a chunk needs no more, and only the rest of
+the nodes are held against all other chunks.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import block_pairs, by_group, free_name, map_text, materialize, slices
+from waymark.llm.common import by_group, free_name, join_hot, map_text, materialize, slices
 from waymark.llm.components import components, local_roots
 from waymark.llm.shingles import minhash, mix, shingle_sets
 
@@ -138,26 +140,69 @@ def _intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
         part = np.zeros((len(sets), columns), dtype=np.float32)
         part[owner[x:y], which[x:y] - at] = 1
         shared += part @ part.T
-    np.fill_diagonal(shared, size)
-    return shared
+    # Sums of ones are exact in single precision up to 2^24 shingles in common; above that they are counted one by one.
+    out = shared.astype(np.int64)
+    for a, b in zip(*np.nonzero(np.triu(shared >= 1 << 24, 1)), strict=True):
+        out[a, b] = out[b, a] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+    np.fill_diagonal(out, size)
+    return out
 
 
-def _group(rows: pa.RecordBatch, least_percent: int) -> pa.RecordBatch | None:
-    """An edge from each linked node of a group, or of a pair of its blocks, to the least it reaches here."""
-    if rows.num_rows < 2:
-        return None
+def _local(rows: pa.RecordBatch, least_percent: int) -> np.ndarray:
+    """For each node of a group the place of the least that it reaches here."""
     column = rows["shingles"]
     offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
     sets = [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    size = np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets], dtype=np.int64)
     shared = _intersections(sets)
     linked = 100 * shared >= least_percent * (size[:, None] + size[None, :] - shared)
     np.fill_diagonal(linked, False)
-    some = np.flatnonzero(linked.any(axis=1))
+    return local_roots(linked)
+
+
+def _chunk(rows: pa.RecordBatch, least_percent: int) -> pa.RecordBatch | None:
+    """An edge from each linked node of a chunk to the least it reaches here, and of a group of several chunks whether it reaches the pivot."""
+    rows = rows.sort_by("fp")
+    fp, root = rows["fp"].to_numpy(), _local(rows, least_percent)
+    chunks, pivot = rows["chunks"][0].as_py(), rows["pivot"][0].as_py()
+    # The pivot is the least of its group, so it is the first of each chunk.
+    done = (root == 0) | (chunks == 1)
+    some = np.flatnonzero((root != np.arange(len(fp))) | ~done)
     if not len(some):
         return None
-    fp = rows["fp"].to_numpy()
-    return pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array(fp[local_roots(linked)[some]])], ["node", "root"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), pivot)), pa.array(fp[some]), pa.array(fp[root[some]]), pa.array(done[some])], ["pivot", "node", "root", "done"])
+
+
+def _pair(rows: pa.RecordBatch, least_percent: int) -> pa.RecordBatch | None:
+    """An edge from each linked node of a block and a chunk to the least it reaches here."""
+    fp, root = rows["fp"].to_numpy(), _local(rows, least_percent)
+    some = np.flatnonzero(root != np.arange(len(fp)))
+    return pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array(fp[root[some]])], ["node", "root"]) if len(some) else None
+
+
+def _edges(members: DataFrame, sets: DataFrame, least_percent: int, size: int) -> DataFrame:
+    """(node, root): edges that join the nodes of each group (pivot, fp) as its links do."""
+    dealt = members.groupBy("pivot").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    total = members.count()
+    named = join_hot(members, dealt, "pivot", "n", total).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    named = materialize(named)
+    pivots = dealt.where("chunks > 1").select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks", F.col("pivot").alias("fp"))
+    rows = named.where("chunks = 1 or fp <> pivot").select("pivot", "chunk", "chunks", "fp").unionByName(pivots.select("pivot", "chunk", "chunks", "fp"))
+    first = materialize(by_group(rows.join(sets, "fp"), ["pivot", "chunk"], lambda r: _chunk(r, least_percent), "pivot long, node long, root long, done boolean", size))
+    edges = first.where("node <> root").select("node", "root")
+    left = first.where("not done").select("pivot", F.col("node").alias("fp"))
+    if left.isEmpty():
+        return edges
+    # Those that don't reach the pivot, in blocks, against all chunks of their group.
+    blocks = left.groupBy("pivot").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    blocks = materialize(blocks.join(dealt.select("pivot", "chunks"), "pivot"))
+    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asking = join_hot(left, blocks, "pivot", "n", left.count())
+    asking = asking.select("pivot", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), span("chunks").alias("chunk"), "fp")
+    asked = join_hot(named.select("pivot", "chunk", "fp"), blocks.select("pivot", "blocks").join(dealt.select("pivot", "n"), "pivot"), "pivot", "n", total)
+    asked = asked.select("pivot", span("blocks").alias("block"), "chunk", "fp")
+    met = asking.unionByName(asked).distinct().join(sets, "fp")
+    return edges.unionByName(by_group(met, ["pivot", "block", "chunk"], lambda r: _pair(r, least_percent), "node long, root long", size))
 
 
 def near_groups(docs: DataFrame, width: int = 5, least_percent: int = 80, doc_id: str = "doc_id", text: str = "text", with_fp: bool = False) -> DataFrame:
@@ -173,21 +218,24 @@ def near_groups(docs: DataFrame, width: int = 5, least_percent: int = 80, doc_id
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = materialize(_signed(docs, width))
-    nodes = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    nodes = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     nodes = materialize(nodes)
+    n_docs, n_nodes = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     keyed = nodes.select("fp", F.explode(F.array(*_keys("sig"))).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    members = materialize(keyed.join(buckets, "key").select("pivot", "fp").distinct())
-    wanted = nodes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "doc_id")
-    sizes = members.groupBy("pivot").agg(F.count("*").alias("n"))
-    placed = block_pairs(members.join(sizes, "pivot"), "fp", "n", BLOCK).select("pivot", "i", "j", "fp")
-    held = placed.join(materialize(_sets(docs, width, wanted)), "fp")
-    edges = by_group(held, ["pivot", "i", "j"], lambda rows: _group(rows, least_percent), "node long, root long")
-    comps = components(edges, "node", "root")
-
-    rooted = nodes.select("fp", "doc_id").join(comps, nodes["fp"] == comps["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    out = signed.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
-    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(*["fp"] * with_fp, "doc_id", "n_shingles", component.alias("component_id"), F.equal_null(F.col("doc_id"), component).alias("kept"))
+    buckets = keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    members = materialize(join_hot(keyed, buckets, "key", "n", CHUNK * CHUNKS * n_nodes).select("pivot", "fp").distinct())
+    wanted = materialize(nodes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "doc_id", "n_shingles"))
+    sets = materialize(_sets(docs, width, wanted.select("fp", "doc_id")))
+    # A node is in several groups; so is its set.
+    size = 8 * (members.join(wanted.select("fp", "n_shingles"), "fp").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
+    comps = materialize(components(_edges(members, sets, least_percent, size), "node", "root"))
+
+    rooted = nodes.select("fp", "doc_id", "n").join(comps, nodes["fp"] == comps["node"], "left").select("fp", "doc_id", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted)
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_nodes"))
+    named = join_hot(rooted, least, "root", "n_nodes", n_nodes).select("fp", "component_id", "n")
+    out = signed.select("doc_id", "n_shingles", "fp")
+    linked = join_hot(out.where("fp is not null"), materialize(named), "fp", "n", n_docs)
+    alone = out.where("fp is null").withColumn("component_id", F.col("doc_id"))
+    out = linked.unionByName(alone)
+    return out.select(*["fp"] * with_fp, "doc_id", "n_shingles", "component_id", F.equal_null("doc_id", "component_id").alias("kept"))
