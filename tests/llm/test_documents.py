@@ -308,7 +308,7 @@ def test_more_than_256_languages(spark):
     model = language_id.fit(docs)
     assert model.languages == tuple(f"l{k:03}" for k in range(300))
     found = language_id.document_languages(docs.where("doc_id % 17 = 0"), model, ["doc_id"]).collect()
-    assert len(found) == 36 and all(r.text_language == f"l{r.doc_id // 2:03}" for r in found)
+    assert len(found) == 36 and all(r.text_language == f"l{r.kept.doc_id // 2:03}" for r in found)
 
 
 def test_url_rules(spark):

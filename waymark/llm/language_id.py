@@ -6,7 +6,7 @@ suffix, and a prior of the host.  Host priors are counts of what the text alone
 says, by grouped aggregation, each level smoothed towards the one above: host
 towards its domain, domain towards all.  Declared languages and suffixes count
 by how often they agree with the text over the whole table, estimated in the
-same way.  Texts without letters, or that no language's model explains better
+same way.  A row's own text is left out of every count that judges it.  Texts without letters, or that no language's model explains better
 than evenly spread trigrams, are ``und``.
 """
 
@@ -128,18 +128,25 @@ def _best(evidence: str) -> Column:
     return F.size(full) - F.array_position(full, F.array_max(full)).cast("int")
 
 
-def _smoothed(own: str, above: Column) -> Column:
-    """Shares of counts ``own`` drawn towards the shares ``above``."""
-    total = F.aggregate(F.col(own), F.lit(0.0), lambda a, x: a + x)
-    return F.zip_with(F.col(own), above, lambda n, p: (n + STRENGTH * p) / (total + STRENGTH))
+def _without(own: str, best: str) -> Column:
+    """The counts ``own`` without the row itself, which is of the class ``best``."""
+    return F.transform(F.col(own), lambda n, k: n - F.when(k == F.col(best), 1.0).otherwise(0.0))
+
+
+def _shares(counts: Column, above: Column) -> Column:
+    """Shares of ``counts`` drawn towards the shares ``above``."""
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return F.zip_with(counts, above, lambda n, p: (n + STRENGTH * p) / (total + STRENGTH))
 
 
 def fuse(rows: DataFrame, model: Trigrams, text: str, declared: Column, suffix: Column, host: Column, domain: Column, kept: list[str]) -> DataFrame:
-    """The ``kept`` columns of every row, then language, posterior and text_language.
+    """``kept``, a struct of the kept columns of every row, then language, posterior and text_language.
 
     A text without evidence, null or empty, is judged by its other evidence;
-    null evidence of any kind says nothing. No rows give none. The kept
-    columns may have any names but the three of the result.
+    null evidence of any kind says nothing. Repeated rows count and are judged
+    each; between equally likely languages the first by name is taken. Texts of
+    any length have at most ``MOST_TRIGRAMS`` worth of evidence. No rows give
+    none. The kept columns may have any names.
     """
     names = [*model.languages, "und"]
     facts = {"f_declared": declared, "f_suffix": suffix, "f_host": host, "f_domain": domain}
@@ -149,8 +156,8 @@ def fuse(rows: DataFrame, model: Trigrams, text: str, declared: Column, suffix:
     cube = materialize(best.groupBy(*facts, "f_best").agg(F.count("*").cast("double").alias("n")))
 
     def counted(*by: str) -> DataFrame:
-        """``own``, the count of each class, of each combination of ``by``; nulls are combinations."""
-        each = cube.groupBy(*by, "f_best").agg(F.sum("n").alias("n")).groupBy(*by)
+        """``own``, the count of each class, of each combination of ``by``."""
+        each = cube.where(f"{by[0]} is not null").groupBy(*by, "f_best").agg(F.sum("n").alias("n")).groupBy(*by)
         own = F.map_from_entries(F.collect_list(F.struct("f_best", "n")))
         return each.agg(own.alias("own")).withColumn("own", F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.coalesce(F.col("own")[k], F.lit(0.0))))
 
@@ -158,25 +165,30 @@ def fuse(rows: DataFrame, model: Trigrams, text: str, declared: Column, suffix:
     for r in cube.groupBy("f_best").agg(F.sum("n").alias("n")).collect():
         totals[r.f_best] += r.n
     shares = F.array(*[F.lit(float(x)) for x in totals / totals.sum()])
-    by_domain = counted("f_domain").where("f_domain is not null").select(F.col("f_domain").alias("d"), _smoothed("own", shares).alias("above"))
-    by_host = counted("f_host", "f_domain").where("f_host is not null")
-    prior = by_host.join(by_domain, F.col("f_domain") == F.col("d"), "left").select(F.col("f_host").alias("h"), F.col("f_domain").alias("hd"), _smoothed("own", F.coalesce("above", shares)).alias("f_prior"))
-
-    seen = _text_evidence(rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("f_text"), *[c.alias(k) for k, c in facts.items()]), model, "f_text", "f_evidence").drop("f_text")
-    seen = seen.join(prior, (F.col("f_host") == F.col("h")) & F.col("f_domain").eqNullSafe(F.col("hd")), "left")
-    odds = F.zip_with("f_evidence", F.coalesce("f_prior", shares), lambda e, p: e + F.log(p))
+    none = F.array(*[F.lit(0.0)] * len(names))
+    by_domain = counted("f_domain").select(F.col("f_domain").alias("d"), F.col("own").alias("d_own"))
+    by_host = counted("f_host", "f_domain").join(by_domain, F.col("f_domain") == F.col("d"), "left")
+    by_host = by_host.select(F.col("f_host").alias("h"), F.col("f_domain").alias("hd"), F.col("own").alias("h_own"), F.coalesce("d_own", none).alias("d_own"))
+
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept")
+    seen = _text_evidence(rows.select(whole, F.col(f"`{text}`").alias("f_text"), *[c.alias(k) for k, c in facts.items()]), model, "f_text", "f_evidence").drop("f_text")
+    seen = seen.withColumn("f_best", _best("f_evidence"))
+    seen = seen.join(by_host, (F.col("f_host") == F.col("h")) & F.col("f_domain").eqNullSafe(F.col("hd")), "left")
+    # Without a domain there is nothing to leave out of its counts.
+    above = F.when(F.col("f_domain").isNotNull(), _shares(_without("d_own", "f_best"), shares)).otherwise(shares)
+    prior = F.when(F.col("h_own").isNotNull(), _shares(_without("h_own", "f_best"), above)).otherwise(shares)
+    odds = F.zip_with("f_evidence", prior, lambda e, p: e + F.log(p))
     for c in ("f_declared", "f_suffix"):
-        # P(signal | language) up to a factor: the language's share among the signal's rows over its share of all.
-        likelihood = F.zip_with(_smoothed("own", shares), shares, lambda p, q: F.log(p / q))
-        signal = counted(c).where(f"{c} is not null").select(F.col(c).alias(f"{c}_is"), likelihood.alias(f"{c}_log"))
+        signal = counted(c).select(F.col(c).alias(f"{c}_is"), F.col("own").alias(f"{c}_own"))
         seen = seen.join(signal, F.col(c) == F.col(f"{c}_is"), "left")
-        odds = F.zip_with(odds, F.coalesce(f"{c}_log", F.array(*[F.lit(0.0)] * len(names))), lambda a, b: a + b)
+        # P(signal | language) up to a factor: the language's share among the signal's rows over its share of all.
+        likelihood = F.zip_with(_shares(_without(f"{c}_own", "f_best"), shares), shares, lambda p, q: F.log(p / q))
+        odds = F.zip_with(odds, F.when(F.col(f"{c}_own").isNotNull(), likelihood).otherwise(none), lambda a, b: a + b)
     scored = seen.withColumn("f_odds", odds)
     top = F.array_max("f_odds")
     posterior = 1 / F.aggregate("f_odds", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     named = F.array(*map(F.lit, names))
-    kept_columns = [F.col(f"`{c}`") for c in kept]
-    return scored.select(*kept_columns, named[F.array_position("f_odds", top).cast("int") - 1].alias("language"), posterior.alias("posterior"), named[_best("f_evidence")].alias("text_language"))
+    return scored.select("kept", named[F.array_position("f_odds", top).cast("int") - 1].alias("language"), posterior.alias("posterior"), named[F.col("f_best")].alias("text_language"))
 
 
 def _present(c: Column) -> Column:
@@ -186,6 +198,10 @@ def _present(c: Column) -> Column:
 def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, language, posterior and text_language for every row of ``pages``; text models are learned from ``docs``.
 
+    Null urls and html give no evidence; repeated rows are judged each; further
+    columns are not read. No pages give no rows, and without documents to learn
+    from every page is ``und``.
+
     The text is what stands outside tags, scripts, styles and comments; the
     markup declares by the html element's lang; the address gives its last
     label as suffix, its host and the host's last two labels as domain.
@@ -195,10 +211,11 @@ def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1))
     rows = pages.select("page_id", text.alias("text"), _present(F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))).alias("markup"), _present(host).alias("host"))
     suffix, domain = (_present(F.regexp_extract("host", p, 1)) for p in (r"\.([a-z]+)(?::\d+)?$", r"([^.]+\.[^.]+)$"))
-    return fuse(rows, fit(docs), "text", F.col("markup"), suffix, F.col("host"), domain, ["page_id"])
+    fused = fuse(rows, fit(docs), "text", F.col("markup"), suffix, F.col("host"), domain, ["page_id"])
+    return fused.select("kept.page_id", "language", "posterior", "text_language")
 
 
 def document_languages(docs: DataFrame, model: Trigrams, kept: list[str]) -> DataFrame:
-    """The ``kept`` columns with language, posterior and text_language; ``lang`` is what a document declares, ``source`` its host."""
+    """A struct of the ``kept`` columns with language, posterior and text_language; ``lang`` is what a document declares, ``source`` its host."""
     none = F.lit(None).cast("string")
     return fuse(docs, model, "text", F.col("lang"), none, F.col("source"), none, kept)

@@ -6,8 +6,10 @@ the corpus.  Documents are dealt out in chunks of about ``CHUNK_BYTES``.  A
 chunk asks for each of its distinct words and bigrams once and brings its own
 counts of them, so a word that is everywhere costs a row a chunk.  Buckets of
 hashes add up the chunks' counts and answer each chunk; no table of them goes
-to the driver or to all tasks.  A document's score is the mean over its words
-of target loss minus background loss, in nats; low scores are like the target.
+to the driver or to all tasks.  Documents of one id share a chunk with its
+label; those of an id that very many repeat are dealt over all chunks instead.
+A document's score is the mean over its words of target loss minus background
+loss, in nats; low scores are like the target.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import by_group, map_text
+from waymark.llm.common import HOT, by_group, map_text, materialize, partitions
 from waymark.llm.shingles import PLACE, mix, text_buffers, word_hashes
 
 #: Classes of the uniform part, the same for both models whatever the vocabulary.
 CELLS = 1 << 20
 #: Bytes of a chunk's texts, and corpus words for each bucket of hashes, on average.
 CHUNK_BYTES, BUCKET_WORDS = 1 << 22, 3 << 18
+#: Rows of one id that are not dealt out, however small the table.
+LEAST_HOT = 1000
 #: Weights of the bigram, word and uniform parts.
 PARTS = (0.5, 0.4, 0.1)
 
@@ -56,7 +60,8 @@ def _ask(rows: pa.RecordBatch, buckets: int) -> pa.RecordBatch | None:
     row, at, distinct, which = _grams(docs["text"])
     if not len(distinct):
         return None
-    inside = np.array(pc.is_in(docs["doc_id"], value_set=marked), dtype=bool)[row]
+    target = pc.or_(pc.is_in(docs["doc_id"], value_set=marked), docs["sure"].fill_null(False))
+    inside = np.array(target, dtype=bool)[row]
     counts = [np.bincount(which, minlength=len(distinct)), np.bincount(which[np.concatenate([inside, inside[at]])], minlength=len(distinct))]
     bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(distinct)]
@@ -118,17 +123,24 @@ def score(docs: DataFrame, labels: DataFrame, good: int = 1) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = labels.where((F.col("quality") == good) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("chosen")).distinct()
-    sizes = map_text(docs, "text", _sizes, "doc_id long, bytes long, words long").join(chosen, F.col("doc_id") == F.col("chosen"), "left")
+    sizes = materialize(map_text(docs, "text", _sizes, "doc_id long, bytes long, words long"))
+    # Ids that more than a HOTth of the rows repeat: fewer than HOT of them, so they are broadcast.
+    often = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > F.greatest(F.lit(sizes.count() / HOT), F.lit(LEAST_HOT)))
+    hot = materialize(often.join(chosen, F.col("doc_id") == F.col("chosen"), "left").select(F.col("doc_id").alias("hot_id"), F.col("chosen").isNotNull().alias("sure")))
+    marked = sizes.join(chosen, F.col("doc_id") == F.col("chosen"), "left")
     sums = [F.count("*"), F.sum("bytes"), F.sum("words"), F.sum(F.when(F.col("chosen").isNotNull(), F.col("words")))]
-    n, size, words, target = (x or 0 for x in sizes.agg(*sums).first())
-    chunks, buckets = max(1, -(-(size + 64 * n) // CHUNK_BYTES)), max(1, -(-words // BUCKET_WORDS))
-
-    # Labels go to the chunk of their document, so texts are shuffled once; null ids are spread by text.
-    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)).alias("chunk")
-    rows = docs.select(place, "doc_id", "text", F.lit(False).alias("is_label"))
-    marks = chosen.select(F.col("chosen").alias("doc_id"), F.lit(None).cast("string").alias("text")).select(place, "doc_id", "text", F.lit(True).alias("is_label"))
-    rows = rows.unionByName(marks).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")
-    asked = by_group(rows, ["chunk"], lambda x: _ask(x, buckets), "bucket long, chunk long, steps binary, background binary, target binary")
-    answers = by_group(asked, ["bucket"], _answer, "chunk long, bucket long, background binary, target binary")
+    n, size, words, target = (x or 0 for x in marked.agg(*sums).first())
+    size += 64 * n
+    chunks, buckets = max(1, -(-size // CHUNK_BYTES)), max(1, -(-words // BUCKET_WORDS))
+
+    # Labels go to the chunk of their document, so texts are shuffled once; null and hot ids are spread.
+    spread = F.col("hot_id").isNotNull() | F.col("doc_id").isNull()
+    place = lambda key: F.pmod(F.xxhash64(key), F.lit(chunks))
+    rows = docs.join(F.broadcast(hot), F.col("doc_id") == F.col("hot_id"), "left").withColumn("nth", F.monotonically_increasing_id())
+    rows = rows.select(F.when(spread, place("nth")).otherwise(place("doc_id")).alias("chunk"), "doc_id", "text", "sure", F.lit(False).alias("is_label"))
+    marks = chosen.select(place("chosen").alias("chunk"), F.col("chosen").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("sure"), F.lit(True).alias("is_label"))
+    rows = rows.unionByName(marks).repartition(partitions(docs.sparkSession, size), "chunk")
+    asked = by_group(rows, ["chunk"], lambda x: _ask(x, buckets), "bucket long, chunk long, steps binary, background binary, target binary", size)
+    answers = by_group(asked, ["bucket"], _answer, "chunk long, bucket long, background binary, target binary", 4 * size)
     totals = {"target": target, "background": words}
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda x, y: _scores(x, y, totals), "doc_id long, n_words long, target_loss double, background_loss double, score double")

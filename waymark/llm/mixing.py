@@ -7,7 +7,11 @@ each source's blocks to its shards in the same way.  A shard's documents, in
 the order of a seeded hash, make a stream that is cut into equal blocks; a
 seeded systematic choice takes exactly the shard's quota of them.  How many of
 the blocks before any place are taken is one division, so blocks are never
-listed, and no task holds more than a shard.
+listed, and no task holds more than a shard's (id, hash, size) rows.
+
+Blocks and shards have the same words at every size of the input.  Sources and
+the shards of one source are rows of one task each: a shard of 4 Mi words is
+some 25 MB of text, so a source of 100 TB has 4 million of them.
 """
 
 from __future__ import annotations
@@ -22,10 +26,8 @@ from pyspark.sql.window import Window as W
 
 from waymark.llm.common import materialize, word_count
 
-#: Words of a block at least, and blocks in all about at most.
-BLOCK_WORDS, MOST_BLOCKS = 16, 1 << 22
-#: Words of a shard at least, and shards in all about at most, besides one per source.
-SHARD_WORDS, MOST_SHARDS = 1 << 16, 4096
+#: Words of a block, and of a shard, about.
+BLOCK_WORDS, SHARD_WORDS = 16, 1 << 22
 
 
 def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
@@ -93,19 +95,19 @@ def _quotas(planned: DataFrame, key: list[str], votes: str, seats: str, cap: str
     return planned.drop("q").groupBy(*key).applyInPandas(apportion, f"{schema}, q long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target and taken for every row, after the ``carried`` columns.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, text: str = "text", with_own: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target and taken for every row; ``with_own`` puts the text's xxhash64 first, as ``own``.
 
     Sources in order of code points, null last, have the weights in turn. A
     document's taken words are at most ``most`` times its own; a source's come
     within two blocks a shard of its target. Null and empty texts have size 0
-    and give nothing. Repeated rows are documents of their own. Equal inputs
-    give equal results, however they are partitioned. No rows give none.
+    and give nothing. Repeated rows are documents of their own; rows of one id,
+    or without one, go to shards by their texts too. Equal inputs give equal
+    results, however they are partitioned: rows that tie are alike. Further
+    columns are not read. No rows give none.
     """
-    sized = materialize(docs.select(*carried, F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(text).alias("size")))
-    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    block = max(BLOCK_WORDS, -(-int(total * share) // MOST_BLOCKS))
-    shard_words = max(SHARD_WORDS, -(-total // MOST_SHARDS))
+    sized = materialize(docs.select(F.xxhash64(text).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(text).alias("size")))
+    block, shard_words = BLOCK_WORDS, SHARD_WORDS
 
     sources = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int"))
@@ -113,12 +115,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     sources = sources.withColumn("cap", F.ceil(F.col("source_size") / block) * int(most))
     sources = materialize(_quotas(sources, ["group"], "target", "seats", "cap").select(F.col("source").alias("of"), "sid", "source_size", "target", "shards", F.col("q").alias("source_q")))
 
-    placed = sized.join(sources, sized["source"].eqNullSafe(sources["of"])).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int"))
+    placed = sized.join(sources, sized["source"].eqNullSafe(sources["of"])).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "own"), F.col("shards")).cast("int"))
     shards = placed.groupBy("sid", "shard").agg(F.sum("size").alias("words"), F.first("source_q").alias("source_q"))
     shards = shards.withColumn("n", F.ceil(F.col("words") / block)).withColumn("cap", F.col("n") * int(most))
     shards = _quotas(shards, ["sid"], "words", "source_q", "cap").select("sid", "shard", "n", "q")
     shards = shards.withColumn("u", F.when(F.col("n") > 0, F.pmod(F.xxhash64(F.lit(seed), "sid", "shard"), F.col("n"))).otherwise(0)).withColumn("block", F.lit(block).cast("long"))
-    order = W.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "own"), "doc_id", "own", "size").rowsBetween(W.unboundedPreceding, 0)
     ends = placed.join(shards, ["sid", "shard"]).withColumn("end", F.sum("size").over(order))
     taken = F.when(F.col("size") > 0, _taken_before(F.col("end")) - _taken_before(F.col("end") - F.col("size"))).otherwise(0).cast("long")
-    return ends.select(*carried, "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
+    return ends.select(*["own"] * with_own, "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))

@@ -68,15 +68,17 @@ def one_of_each(docs: DataFrame, width: int = 5, least_percent: int = 80) -> Dat
     Texts without shingles stay. Of rows that agree in doc_id and shingles one
     stays; of a group without any doc_id, one of each shingle set.
     """
-    fp = free_name(docs, "fp")
+    fp, wanted = free_name(docs, "fp"), free_name(docs, "wanted")
     named = with_fingerprint(docs, "text", width, fp)
     kept = near_groups(docs, width, least_percent, with_fp=True).where("kept and fp is not null")
-    kept = materialize(kept.groupBy("doc_id", F.col("fp").alias("kept_fp")).agg((F.count("*") > 1).alias("again")).withColumnRenamed("doc_id", "kept_id"))
-    same = (named[fp] == F.col("kept_fp")) & named["doc_id"].eqNullSafe(F.col("kept_id"))
-    empty = named.where(F.col(fp).isNull())
-    out = empty.unionByName(named.join(kept.where("not again"), same, "left_semi"))
-    if not kept.where("again").isEmpty():
-        out = out.unionByName(named.join(kept.where("again"), same, "left_semi").dropDuplicates(["doc_id", fp]))
+    kept = materialize(kept.groupBy("doc_id", "fp").agg((F.count("*") > 1).alias("again")))
+    # One struct, so that no column of docs can have the name of a helper.
+    kept = kept.select(F.struct(F.col("doc_id").alias("id"), "fp", "again").alias(wanted))
+    same = (F.col(fp) == F.col(f"{wanted}.fp")) & named["doc_id"].cast("long").eqNullSafe(F.col(f"{wanted}.id"))
+    again = F.col(f"{wanted}.again")
+    out = named.where(F.col(fp).isNull()).unionByName(named.join(kept.where(~again), same, "left_semi"))
+    if not kept.where(again).isEmpty():
+        out = out.unionByName(named.join(kept.where(again), same, "left_semi").dropDuplicates(["doc_id", fp]))
     return out.drop(fp)
 
 

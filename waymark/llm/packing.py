@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import by_group, materialize, word_count
+from waymark.llm.common import by_group, join_hot, materialize, word_count
 from waymark.llm.near_dedup import near_groups
 
 CAPACITY, SHARD_PIECES = 2048, 4096
+#: Copies of one row that a task lists.
+LOT = 1024
 
 
 def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int) -> np.ndarray:
@@ -80,17 +82,25 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, by_source: bool = True, clus
     are equal, or that ``clusters`` (own, cluster) puts together by their
     xxhash64, make a duplicate cluster and never share a bin, nor do, with
     ``by_source``, two pieces of one source; null sources conflict with
-    nothing. Rows that repeat a doc_id are documents of their own. Bins are
-    numbered within their shard. No rows give none.
+    nothing. Rows that repeat a doc_id are documents of their own; further
+    columns are not read. Pieces of equal size go by their row's hash. Bins
+    are numbered within their shard. No rows give none.
     """
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("source") if by_source else F.lit(None).cast("string")).alias("source"), F.xxhash64("text").alias("own"), word_count("text").alias("size"))
     sized = materialize(kept.where("size > 0"))
-    pieces = sized.agg(F.coalesce(F.sum(F.ceil(F.col("size") / capacity)), F.lit(0))).first()[0]
+    rows, pieces = sized.agg(F.count("*"), F.coalesce(F.sum(F.ceil(F.col("size") / capacity)), F.lit(0))).first()
     shards = max(1, -(-pieces // SHARD_PIECES))
-    # A piece's shard follows from its own row, so the texts of a large cluster spread over all shards.
-    placed = sized.join(clusters, "own", "left").withColumn("cluster", F.coalesce("cluster", "own")) if clusters is not None else sized.withColumn("cluster", F.col("own"))
-    numbered = placed.withColumn("row", F.xxhash64("doc_id", "own", "size"))
+    # Each text's hash with its cluster; a text that many rows have is joined by broadcast.
+    texts = sized.groupBy("own").agg(F.count("*").alias("n"))
+    texts = texts.join(clusters, "own", "left") if clusters is not None else texts.withColumn("cluster", F.col("own"))
+    placed = join_hot(sized, materialize(texts.select("own", "n", F.coalesce("cluster", "own").alias("cluster"))), "own", "n", rows)
+    # A piece's shard follows from its own row and which copy of it this is, so equal rows spread over all shards.
+    alike = placed.groupBy("doc_id", "source", "own", "cluster", "size").agg(F.count("*").alias("n"))
+    few = alike.where(F.col("n") <= LOT).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    lots = alike.where(F.col("n") > LOT).withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / LOT)))).repartition("doc_id", "own", "lot")
+    many = lots.withColumn("copy", F.explode(F.sequence(F.col("lot") * LOT, F.least((F.col("lot") + 1) * LOT, "n") - 1))).drop("lot")
+    numbered = few.unionByName(many).withColumn("row", F.xxhash64("doc_id", "own", "size", "copy"))
     cut = numbered.select("doc_id", "row", "source", "cluster", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / capacity).cast("int") - 1)).alias("piece"))
     start = F.col("piece").cast("long") * capacity
     cut = cut.select("doc_id", "row", "source", "cluster", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("size") - start).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"))
-    return by_group(cut, ["shard"], lambda rows: _shard(rows, capacity), "doc_id long, row long, piece int, start long, n_tokens long, shard long, bin long").drop("row")
+    return by_group(cut, ["shard"], lambda rows: _shard(rows, capacity), "doc_id long, row long, piece int, start long, n_tokens long, shard long, bin long", 64 * pieces).drop("row")

@@ -3,8 +3,8 @@
 A batch is a set of signed document counts: inserts add, deletes subtract, and
 a revised count is a delete of the old and an insert of the new.  A commit
 aggregates a batch by source, language and tokenizer version and writes it as
-the partition of its batch id in one rename; committing an id again replaces
-that partition by the same sums, so replays change nothing.  Totals are the
+the partition of its batch id in one rename; an id that is committed already is
+left as it is, so replays change nothing.  Totals are the
 sum over the committed batches, which stays additive under any order.
 """
 
@@ -75,7 +75,11 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def token_counts(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "tokens") -> DataFrame:
-    """``docs`` without ``text`` and with the number of tokens of each whole text; null and empty have none."""
+    """``docs`` without ``text`` and with the number of tokens of each whole text.
+
+    Null and empty texts have none; very long ones are encoded in pieces that
+    count as the whole. Rows are counted each, repeated or not. No rows give none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     kept = [c for c in docs.columns if c != text]
 
@@ -93,6 +97,6 @@ def token_counts(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text"
 
 
 def deltas(counted: DataFrame, version: str, sign: int | Column, tokens: str = "tokens") -> DataFrame:
-    """Signed rows of counted documents: +1 inserts, -1 deletes."""
+    """Signed rows of counted documents: +1 inserts, -1 deletes. Null sources and languages are groups of their own."""
     sign = F.lit(sign) if isinstance(sign, int) else sign
     return counted.select("source", "lang", F.lit(version).alias("tokenizer"), sign.cast("long").alias("docs"), (sign * F.col(tokens)).cast("long").alias("tokens"))
