@@ -31,7 +31,8 @@ def test_query(spark, duck, name):
     columns = sorted(frame.columns)
     got = sorted(tuple(_key(r[c]) for c in columns) for r in frame.collect())
     if name not in plans.oracle_sql():
-        assert got
+        # Held against plain loops in test_networks.
+        assert name in ("gap_fill", "junction_kinds") and got
         return
     found = duck.sql(plans.oracle_sql()[name])
     assert sorted(found.columns) == columns

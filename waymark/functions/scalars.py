@@ -24,6 +24,16 @@ ROAD_PREFIX = {"E": "E", "R": "Rv", "F": "Fv", "K": "Kv", "P": "Pv"}
 RAILWAY_TYPES = ["rail", "subway", "tram", "light_rail", "narrow_gauge", "construction", "disused", "abandoned", "preserved"]
 SPEED_COLOURS = [(130, (40, 160, 40)), (100, (80, 180, 40)), (70, (200, 200, 40)), (40, (220, 140, 40))]
 SLOW_COLOUR = (200, 60, 40)
+JUNCTION_NAMES = {
+    "Switch": "Switch",
+    "DoubleSwitch": "Double switch",
+    "Diamond": "Diamond crossing",
+    "Overpass": "Track overpass",
+    "Underpass": "Track underpass",
+    "Level": "Road level crossing",
+    "RoadOverpass": "Road overpass",
+    "RoadUnderpass": "Road underpass",
+}
 DTM_NAME = r"Basisdata_(\d+-\d+)_Celle_(\d+)_DTM10UTM(\d+)_TIFF\.zip"
 
 
@@ -33,9 +43,20 @@ def tag(tags: str, key: str) -> Column:
 
 
 def leading_int(text: Column) -> Column:
-    """The integer that a text begins with, after blanks; 0 without one."""
-    digits = F.regexp_extract(text, r"^\s*([+-]?\d{1,9})", 1)
-    return F.coalesce(F.when(digits != "", digits).cast("int"), F.lit(0))
+    """The integer that a text begins with, after blanks; 0 without one, or with one that is no 32-bit integer."""
+    digits = F.regexp_extract(text, r"^\s*([+-]?\d{1,18})", 1)
+    number = F.when(digits != "", digits).cast("long")
+    return F.coalesce(F.when(number.between(-(1 << 31), (1 << 31) - 1), number).cast("int"), F.lit(0))
+
+
+def leading_float(text: Column) -> Column:
+    """The decimal number that a text begins with, after blanks; 0 without one."""
+    digits = F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    return F.coalesce(F.when(digits != "", digits).try_cast("double"), F.lit(0.0))
+
+
+def nonzero(number: Column) -> Column:
+    return F.when(number != 0, number)
 
 
 def positive(number: Column) -> Column:
@@ -122,5 +143,26 @@ def dtm_parts(name: Column) -> list[Column]:
     return [F.regexp_extract(name, DTM_NAME, k).alias(c) for k, c in ((1, "sheet"), (2, "cell"), (3, "zone"))]
 
 
+def dtm_inner_path(name: Column) -> Column:
+    """Where the raster lies in an elevation archive's entry; empty where the name is of none."""
+    sheet, cell, zone = (F.regexp_extract(name, DTM_NAME + "$", k) for k in (1, 2, 3))
+    inner = F.concat(F.regexp_replace(sheet, "-", "_"), F.lit("_10m_z"), zone, F.lit(".tif"))
+    return F.when(zone != "", F.concat(name, F.lit("/"), inner)).otherwise("")
+
+
+def junction_name(kind: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in JUNCTION_NAMES.items() for x in pair])[kind], F.lit("Unknown"))
+
+
+def box_tag(*bounds: Column) -> Column:
+    """Bounds as part of a file name: two decimals each."""
+    return F.format_string("_osm_%.2f_%.2f_%.2f_%.2f", *bounds)
+
+
+def box_text(*bounds: Column) -> Column:
+    """Bounds as an argument: six decimals each."""
+    return F.format_string("%.6f,%.6f,%.6f,%.6f", *bounds)
+
+
 def tile_path(lod: str, col: str, row: str) -> Column:
     return F.format_string("tiles/%d/%d_%d/", F.col(lod), F.col(col), F.col(row))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # GRS80, UTM scale and false easting.
@@ -55,3 +57,47 @@ def stadium(x1: Column, y1: Column, x2: Column, y2: Column, radius: float, per_q
     steps = range(-per_quadrant, per_quadrant + 1)
     corner = lambda x, y, k, half: F.struct((x + radius * F.cos(turn + half + k * math.pi / 2 / per_quadrant)).alias("x"), (y + radius * F.sin(turn + half + k * math.pi / 2 / per_quadrant)).alias("y"))
     return F.array(*[corner(x2, y2, k, 0.0) for k in steps], *[corner(x1, y1, k, math.pi) for k in steps])
+
+
+def buffer_ring(coords: list[tuple[float, float]], radius: float, per_quadrant: int = 8) -> list[tuple[float, float]]:
+    """The ring about a polyline at ``radius``: round at both ends and where it turns outward; equal neighbours count once."""
+    line = [p for k, p in enumerate(coords) if k == 0 or p != coords[k - 1]]
+    if len(line) < 2:
+        return []
+
+    def arc(centre: tuple[float, float], start: float, turn: float) -> list[tuple[float, float]]:
+        n = max(1, math.ceil(abs(turn) / (math.pi / 2 / per_quadrant) - 1e-9))
+        return [(centre[0] + radius * math.cos(start + turn * k / n), centre[1] + radius * math.sin(start + turn * k / n)) for k in range(n + 1)]
+
+    def side(way: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        """The right-hand side of a way, and the half circle about its last point."""
+        angles = [math.atan2(b[1] - a[1], b[0] - a[0]) for a, b in zip(way[:-1], way[1:], strict=True)]
+        out = []
+        for k, (p, a) in enumerate(zip(way[1:], angles, strict=True)):
+            if k == 0:
+                out += arc(way[0], a - math.pi / 2, 0.0)[:1]
+            if k + 1 == len(angles):
+                return out + arc(p, a - math.pi / 2, math.pi)
+            turn = (angles[k + 1] - a + math.pi) % (2 * math.pi) - math.pi
+            if turn > 0:
+                out += arc(p, a - math.pi / 2, turn)
+            else:
+                # Inside a turn the offsets of both pieces meet.
+                reach = radius / max(math.cos(turn / 2), 0.1)
+                out.append((p[0] + reach * math.cos(a + turn / 2 - math.pi / 2), p[1] + reach * math.sin(a + turn / 2 - math.pi / 2)))
+        return out
+
+    return side(line)[:-1] + side(line[::-1])[:-1]
+
+
+def buffered(lines: DataFrame, radius: float = 1.5, per_quadrant: int = 8) -> DataFrame:
+    """``lines`` (id, coords) as rings (id, ring); lines of under two different vertices go."""
+
+    def rings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [buffer_ring([(p["x"], p["y"]) for p in c], radius, per_quadrant) for c in batch["coords"]]
+            kept = [k for k, ring in enumerate(made) if ring]
+            rings_ = pd.Series([[{"x": x, "y": y} for x, y in made[k]] for k in kept], dtype=object)
+            yield pd.DataFrame({"id": pd.Series(batch["id"].iloc[kept].tolist(), dtype="int64"), "ring": rings_})
+
+    return lines.select("id", "coords").mapInPandas(rings, "id long, ring array<struct<x:double,y:double>>")

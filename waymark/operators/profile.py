@@ -3,6 +3,7 @@
 A profile is rows (line, km, elevation, medium, ...), null elevation meaning no
 data.  All operators work on all lines at once, as windows over one line in the
 order of km, so one hash partitioning by line serves a whole chain of them.
+Points of equal km, as where segments meet, go by those of ``TIES`` that there are.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql.window import Window as W
 MIN_PLAUSIBLE, BED_OFFSET, FLOOR = 2.0, 0.6, 2.6
 SIGMA_KM, MAX_GRADE, GRADE_SIGMA_KM = 0.21, 0.025, 0.42
 GAP_KM, MOST_UNKNOWN = 0.5, 5
+#: Columns that order points of equal km.
+TIES = ("seg_id", "sample", "event_id")
 
 
 def elevation() -> Column:
@@ -30,8 +33,15 @@ def surface() -> Column:
     return medium() != "U"
 
 
-def by_km(*keys: str):
-    return W.partitionBy("line_id").orderBy("km", *keys)
+def by_km(points: DataFrame, forward: bool = True):
+    """A line's points in order, or in the reverse of that order."""
+    order = ["km", *[c for c in TIES if c in points.columns]]
+    return W.partitionBy("line_id").orderBy(*[F.asc(c) if forward else F.desc(c) for c in order])
+
+
+def _known(points: DataFrame, value: Column, forward: bool) -> Column:
+    """The last value that is not null up to each point; each frame grows from its start, so a line costs one pass."""
+    return F.last(value, ignorenulls=True).over(by_km(points, forward).rowsBetween(W.unboundedPreceding, 0))
 
 
 def whole_line():
@@ -82,12 +92,12 @@ def limit_grade(points: DataFrame, grade: float = MAX_GRADE, forward: bool = Tru
     within islands that begin where the rule doesn't apply.
     """
     sign = 1 if forward else -1
-    order = W.partitionBy("line_id").orderBy("km" if forward else F.desc("km"))
+    order = by_km(points, forward)
     step = sign * (F.col("km") - F.lag("km").over(order))
     starts = F.lag("km").over(order).isNull() | ~surface() | elevation().isNull() | F.lag("elevation").over(order).isNull() | (step <= 0)
     islands = points.withColumn("island", F.sum(F.when(starts, 1).otherwise(0)).over(order)).withColumn("starts", starts)
     slope = sign * grade * 1000
-    within = W.partitionBy("line_id", "island").orderBy("km" if forward else F.desc("km")).rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("line_id", "island").orderBy(F.asc("km") if forward else F.desc("km")).rowsBetween(W.unboundedPreceding, 0)
     limited = F.min(elevation() - slope * F.col("km")).over(within) + slope * F.col("km")
     return islands.withColumn("elevation", F.when(F.col("starts"), elevation()).otherwise(limited)).drop("island", "starts")
 
@@ -98,9 +108,10 @@ def _used(points: DataFrame) -> DataFrame:
 
 def grades(points: DataFrame) -> DataFrame:
     """The surface points with data, with ``grade`` from the one before; the first has the second's."""
-    step = (F.col("km") - F.lag("km").over(by_km())) * 1000
-    own = F.when(step > 0, (elevation() - F.lag("elevation").over(by_km())) / step).when(step.isNotNull(), 0.0)
-    return _used(points).withColumn("g", own).withColumn("grade", F.coalesce("g", F.lead("g").over(by_km()), F.lit(0.0))).drop("g")
+    order = by_km(points)
+    step = (F.col("km") - F.lag("km").over(order)) * 1000
+    own = F.when(step > 0, (elevation() - F.lag("elevation").over(order)) / step).when(step.isNotNull(), 0.0)
+    return _used(points).withColumn("g", own).withColumn("grade", F.coalesce("g", F.lead("g").over(order), F.lit(0.0))).drop("g")
 
 
 def rebuild(points: DataFrame, sigma: float = GRADE_SIGMA_KM) -> DataFrame:
@@ -108,13 +119,13 @@ def rebuild(points: DataFrame, sigma: float = GRADE_SIGMA_KM) -> DataFrame:
 
     Lines of under three such points keep their elevations, as do all other points.
     """
-    smooth = _gaussian(grades(points), "grade", F.lit(True), sigma)
-    climb = F.coalesce(F.col("grade") * (F.col("km") - F.lag("km").over(by_km())) * 1000, F.lit(0.0))
+    smooth, order = _gaussian(grades(points), "grade", F.lit(True), sigma), by_km(points)
+    climb = F.coalesce(F.col("grade") * (F.col("km") - F.lag("km").over(order)) * 1000, F.lit(0.0))
     smooth = smooth.withColumn("climb", climb)
     line = whole_line()
-    start = F.first("elevation").over(by_km())
-    smooth = smooth.withColumn("made", start + F.sum("climb").over(by_km().rowsBetween(W.unboundedPreceding, 0)))
-    to_end = by_km().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    start = F.first("elevation").over(order)
+    smooth = smooth.withColumn("made", start + F.sum("climb").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    to_end = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     drift = F.last("elevation").over(to_end) - F.last("made").over(to_end)
     span = F.max("km").over(line) - F.min("km").over(line)
     share = F.when(span > 0, (F.col("km") - F.min("km").over(line)) / span).otherwise(0.0)
@@ -138,9 +149,7 @@ def fill_tunnels(points: DataFrame) -> DataFrame:
     taken; with none the points keep theirs.
     """
     other = F.when(surface(), F.struct("km", "elevation"))
-    before = F.last(other, ignorenulls=True).over(by_km().rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(other, ignorenulls=True).over(by_km().rowsBetween(0, W.unboundedFollowing))
-    p = points.withColumn("b", before).withColumn("a", after)
+    p = points.withColumn("b", _known(points, other, True)).withColumn("a", _known(points, other, False))
     e0, e1, k0, k1 = F.col("b.elevation"), F.col("a.elevation"), F.col("b.km"), F.col("a.km")
     share = F.when(k1 > k0, (F.col("km") - k0) / (k1 - k0)).otherwise(0.5)
     filled = F.when(e0.isNotNull() & e1.isNotNull(), e0 + share * (e1 - e0)).otherwise(F.coalesce(e0, e1))
@@ -150,7 +159,8 @@ def fill_tunnels(points: DataFrame) -> DataFrame:
 
 def line_stats(points: DataFrame) -> DataFrame:
     """Length, extent, climb, descent, steepest grade, tunnel and bridge length and parts of each line."""
-    dkm, de = F.col("km") - F.lag("km").over(by_km()), elevation() - F.lag("elevation").over(by_km())
+    order = by_km(points)
+    dkm, de = F.col("km") - F.lag("km").over(order), elevation() - F.lag("elevation").over(order)
     p = points.withColumn("dkm", dkm).withColumn("de", de)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     sound = elevation().isNotNull()
@@ -169,16 +179,15 @@ def line_stats(points: DataFrame) -> DataFrame:
 
 def _runs(points: DataFrame, value: str, out: str) -> DataFrame:
     """``points`` with ``out``, the number of the run of equal ``value`` along the line."""
-    changes = F.when(F.col(value).eqNullSafe(F.lag(value).over(by_km())) & F.lag("km").over(by_km()).isNotNull(), 0).otherwise(1)
-    return points.withColumn("change", changes).withColumn(out, F.sum("change").over(by_km())).drop("change")
+    order = by_km(points)
+    changes = F.when(F.col(value).eqNullSafe(F.lag(value).over(order)) & F.lag("km").over(order).isNotNull(), 0).otherwise(1)
+    return points.withColumn("change", changes).withColumn(out, F.sum("change").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("change")
 
 
 def fill_speed_gaps(points: DataFrame, most: int = MOST_UNKNOWN) -> DataFrame:
     """Runs of at most ``most`` unknown speeds (0) between equal known ones take that speed."""
     known = F.when(F.col("speed") != 0, F.col("speed"))
-    before = F.last(known, ignorenulls=True).over(by_km().rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(by_km().rowsBetween(0, W.unboundedFollowing))
-    p = _runs(points.withColumn("is_known", F.col("speed") != 0), "is_known", "run").withColumn("b", before).withColumn("a", after)
+    p = _runs(points.withColumn("is_known", F.col("speed") != 0), "is_known", "run").withColumn("b", _known(points, known, True)).withColumn("a", _known(points, known, False))
     n = F.count("*").over(W.partitionBy("line_id", "run"))
     return p.withColumn("speed", F.when((F.col("speed") == 0) & (n <= most) & (F.col("a") == F.col("b")), F.col("b")).otherwise(F.col("speed"))).drop("a", "b", "run", "is_known")
 
@@ -203,9 +212,9 @@ def nearest_along(marks: DataFrame, points: DataFrame, most_km: float | None = N
     mark meets more than its two neighbours.
     """
     both = points.select("line_id", "km", F.struct("km", "elevation").alias("p"), F.lit(None).cast("string").alias("name")).unionByName(marks.select("line_id", "km", F.lit(None).cast("struct<km:double,elevation:double>").alias("p"), "name"))
-    order = W.partitionBy("line_id").orderBy("km")
-    before = F.last("p", ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, 0))
-    after = F.first("p", ignorenulls=True).over(order.rangeBetween(0, W.unboundedFollowing))
+    # Ranges, so that a point at a mark's own km is found whichever comes first; the reverse order looks ahead.
+    nearest = lambda way: F.last("p", ignorenulls=True).over(W.partitionBy("line_id").orderBy(way("km")).rangeBetween(W.unboundedPreceding, 0))
+    before, after = nearest(F.asc), nearest(F.desc)
     m = both.withColumn("b", before).withColumn("a", after).where("p is null")
     to_b, to_a = F.col("km") - F.col("b.km"), F.col("a.km") - F.col("km")
     pick = F.when(to_a.isNull() | (to_b <= to_a), F.col("b")).otherwise(F.col("a"))
@@ -215,14 +224,27 @@ def nearest_along(marks: DataFrame, points: DataFrame, most_km: float | None = N
     return found.select("line_id", "name", "km", F.col("near.km").alias("point_km"), F.col("near.elevation").alias("elevation"))
 
 
+def cluster_rows(hits: DataFrame, keys: list[str], width: float, at: str = "km") -> DataFrame:
+    """The middle row of each cluster of a key's rows less than ``width`` from the cluster's first, with first_km and n_hits.
+
+    Rows go by ``at`` and then by their other columns. A key's rows, the
+    crossings of two lines, are one array.
+    """
+    rest = [c for c in hits.columns if c not in (*keys, at)]
+    every = F.array_sort(F.collect_list(F.struct(at, *rest)))
+    grouped = hits.groupBy(*keys).agg(every.alias("hits"))
+    anchors = F.aggregate("hits", F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | (x[at] - F.element_at(F.concat(F.array(F.lit(0.0)), a), -1) >= width), F.concat(a, F.array(x[at]))).otherwise(a))
+    clusters = grouped.withColumn("anchors", anchors).select(*keys, "hits", "anchors", F.posexplode("anchors").alias("i", "anchor"))
+    end = F.coalesce(F.get("anchors", F.col("i") + 1), F.lit(float("inf")))
+    members = F.filter("hits", lambda x: (x[at] >= F.col("anchor")) & (x[at] < end))
+    found = clusters.withColumn("m", members)
+    return found.select(*keys, F.col("anchor").alias("first_km"), F.size("m").cast("long").alias("n_hits"), F.get("m", F.floor(F.size("m") / 2).cast("int")).alias("hit")).select(*keys, "first_km", "n_hits", "hit.*")
+
+
 def cluster_middles(hits: DataFrame, width: float, key: str = "line_id", at: str = "km") -> DataFrame:
     """The middle hit of each cluster of hits less than ``width`` from the cluster's first."""
-    anchors = F.aggregate(F.array_sort(F.collect_list(at)), F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(F.concat(F.array(F.lit(0.0)), a), -1) >= width), F.concat(a, F.array(x))).otherwise(a))
-    grouped = hits.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("all"), anchors.alias("anchors"))
-    clusters = grouped.select(key, "all", F.posexplode("anchors").alias("i", "anchor"), F.col("anchors").alias("anchors"))
-    end = F.coalesce(F.get("anchors", F.col("i") + 1), F.lit(float("inf")))
-    members = F.filter("all", lambda x: (x >= F.col("anchor")) & (x < end))
-    return clusters.withColumn("m", members).select(key, F.col("anchor").alias("first_km"), F.size("m").cast("long").alias("n_hits"), F.get("m", F.floor(F.size("m") / 2).cast("int")).alias("middle_km"))
+    found = cluster_rows(hits.select(key, F.col(at).alias("middle_km")), [key], width, "middle_km")
+    return found.select(key, "first_km", "n_hits", "middle_km")
 
 
 def diagram_extent(points: DataFrame) -> DataFrame:
@@ -253,5 +275,3 @@ def first_of_ranges(rows: DataFrame, tolerance: float = 0.001) -> DataFrame:
         return pdf.iloc[out]
 
     return rows.groupBy("line_id").applyInPandas(keep, rows.schema)
-
-

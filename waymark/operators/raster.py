@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,26 +104,68 @@ def land_cover_name(artype: str) -> Column:
     return name
 
 
+def _fill(g: np.ndarray, passes: int) -> np.ndarray:
+    """``g`` with its NaN cells filled in place and in raster order, pass by pass.
+
+    Cells that are filled in one pass see those filled before them in it, so
+    only cells next to known ones, or behind such in raster order, are visited.
+    """
+    h, w = g.shape
+    padded = np.full((h + 2, w + 2), np.nan)
+    padded[1:-1, 1:-1] = g
+    flat, step = padded.ravel().tolist(), w + 2
+    holes = [(r + 1) * step + c + 1 for r, c in np.argwhere(np.isnan(g)).tolist()]
+    for _ in range(passes):
+        left = []
+        for k in holes:
+            near = [v for v in (flat[k - step], flat[k + step], flat[k - 1], flat[k + 1]) if v == v]
+            if near:
+                flat[k] = sum(near) / len(near)
+            else:
+                left.append(k)
+        if len(left) == len(holes):
+            break
+        holes = left
+    return np.array(flat).reshape(h + 2, step)[1:-1, 1:-1]
+
+
 def fill_gaps(rasters: DataFrame, passes: int = 10) -> DataFrame:
     """Fill cells without data with the mean of their known 4-neighbours, in place and in raster order, pass by pass."""
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            done = []
-            for cells, w, h in zip(rows["cells"], rows["width"], rows["height"], strict=True):
-                g = np.array([np.nan if v is None else v for v in cells], dtype=float).reshape(h, w)
-                for _ in range(passes):
-                    holes = np.argwhere(np.isnan(g))
-                    if not len(holes):
-                        break
-                    for r, c in holes:
-                        near = [g[y, x] for y, x in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)) if 0 <= y < h and 0 <= x < w and not np.isnan(g[y, x])]
-                        if near:
-                            g[r, c] = sum(near) / len(near)
-                done.append([None if np.isnan(v) else float(v) for v in g.ravel()])
-            yield rows.assign(cells=done)
-
-    return rasters.mapInPandas(fill, rasters.schema)
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, done = batch["cells"], []
+            widths, heights = batch["width"].to_pylist(), batch["height"].to_pylist()
+            for k in range(batch.num_rows):
+                cells = column[k].values.to_numpy(zero_copy_only=False).astype(float)
+                done.append(_fill(cells.reshape(heights[k], widths[k]), passes).ravel())
+            flat = np.concatenate(done) if done else np.zeros(0)
+            offsets = pa.array(np.cumsum([0, *map(len, done)]), pa.int32())
+            # No data is null, by a mask.
+            filled = pa.ListArray.from_arrays(offsets, pa.array(flat, mask=np.isnan(flat)))
+            yield pa.RecordBatch.from_arrays([filled if n == "cells" else batch[n] for n in batch.schema.names], batch.schema.names)
+
+    return rasters.mapInArrow(fill, rasters.schema)
+
+
+def affine(col: Column, row: Column, gt: str = "gt") -> tuple[Column, Column]:
+    """Geographic place of a pixel by a geotransform of six numbers."""
+    g = [F.col(gt)[k] for k in range(6)]
+    return g[0] + col * g[1] + row * g[2], g[3] + col * g[4] + row * g[5]
+
+
+def affine_inverse(x: Column, y: Column, gt: str = "gt") -> tuple[Column, Column]:
+    """Pixel column and row of a place; null where the geotransform has no inverse."""
+    g = [F.col(gt)[k] for k in range(6)]
+    det = g[1] * g[5] - g[2] * g[4]
+    dx, dy = x - g[0], y - g[3]
+    return F.try_divide(g[5] * dx - g[2] * dy, det), F.try_divide(g[1] * dy - g[4] * dx, det)
+
+
+def pixel_lookup(rasters: DataFrame, col: Column, row: Column, width: str = "width", height: str = "height", cells: str = "cells") -> Column:
+    """The cell at a pixel, null outside the raster."""
+    inside = (col >= 0) & (col < F.col(width)) & (row >= 0) & (row < F.col(height))
+    return F.when(inside, F.get(rasters[cells], (row * F.col(width) + col).cast("int")))
 
 
 def burn(pixels: DataFrame, polygons: DataFrame, size: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import scalars as S
+from waymark.operators import export as E
 from waymark.operators import network as N
 from waymark.operators import profile as P
 from waymark.operators import raster as R
@@ -103,12 +104,12 @@ def building_class(spark, sf_dir):
     return part.select("p_partkey", "word", S.building_kind(F.col("word")).alias("kind"), S.roof_kind(F.col("word")).alias("roof"), S.building_height(F.col("p_size") % 80).alias("height"))
 
 
-@query("""select c_custkey, cast(case when v >= 130 then 40 when v >= 100 then 80 when v >= 70 then 200 when v >= 40 then 220 else 200 end as int) as red,
+@query("""select c_custkey, cast(case when v >= 130 then 40 when v >= 100 then 80 when v >= 70 then 200 when v >= 40 then 220 else 200 end as int) as red, cast(case when v >= 130 then 160 when v >= 100 then 180 when v >= 70 then 200 when v >= 40 then 140 else 60 end as int) as green, 40 as blue,
 cast(case when r > 500 then 50 when r > 200 then 20 when r > 100 then 10 when r > 50 then 5 else 1 end as int) as km_step, cast(case when 3 * r > 2000 then 500 when 3 * r > 1000 then 200 when 3 * r > 500 then 100 else 50 end as int) as elevation_step
 from (select c_custkey, c_custkey % 160 as v, c_custkey % 700 as r from customer)""")
 def display_steps(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 160).alias("v"), (F.col("c_custkey") % 700).alias("r"))
-    return c.select("c_custkey", S.speed_colour(F.col("v"))[0].alias("red"), S.km_step(F.col("r")).alias("km_step"), S.elevation_step(3 * F.col("r")).alias("elevation_step"))
+    return c.select("c_custkey", *[S.speed_colour(F.col("v"))[k].alias(n) for k, n in enumerate(("red", "green", "blue"))], S.km_step(F.col("r")).alias("km_step"), S.elevation_step(3 * F.col("r")).alias("elevation_step"))
 
 
 # --- profiles -----------------------------------------------------------------------------------
@@ -252,11 +253,16 @@ def crossing_cluster_middle(spark, sf_dir):
     return rounded(P.cluster_middles(_points(spark, sf_dir), 0.2))
 
 
-@query()
+@query("""with recursive g as (select *, row_number() over (partition by line_id order by km) - row_number() over (partition by line_id, medium order by km) as grp from points),
+r as (select line_id, round(min(km), 2) as s, round(max(km), 2) as e, min(km) as o from g group by line_id, medium, grp),
+n as (select *, row_number() over (partition by line_id order by s, e, o) as rn from r),
+k as (select line_id, rn, s, e, [{'s': s, 'e': e}] as kept, true as stays from n where rn = 1
+ union all select n.line_id, n.rn, n.s, n.e, case when list_bool_or(list_transform(k.kept, lambda x: abs(x.s - n.s) < 0.001 and abs(x.e - n.e) < 0.001)) then k.kept else list_append(k.kept, {'s': n.s, 'e': n.e}) end, not list_bool_or(list_transform(k.kept, lambda x: abs(x.s - n.s) < 0.001 and abs(x.e - n.e) < 0.001))
+ from k join n on n.line_id = k.line_id and n.rn = k.rn + 1)
+select line_id, round(s, 4) as "start", round(e, 4) as "end" from k where stays""", "points")
 def first_of_ranges(spark, sf_dir):
-    # Order-dependent keep-first within a tolerance; held against a plain loop in tests.
     seg = P.medium_segments(_points(spark, sf_dir)).select("line_id", F.col("segment").alias("seg"), F.round("start_km", 2).alias("start"), F.round("end_km", 2).alias("end"))
-    return P.first_of_ranges(seg)
+    return rounded(P.first_of_ranges(seg).drop("seg"))
 
 
 # --- proximity, overlap, crossings --------------------------------------------------------------
@@ -412,13 +418,31 @@ def _lod(spark, sf_dir):
     return T.lod_tiles(_boxes(spark, sf_dir, "rails"))
 
 
-@query()
+def _lod_sql() -> str:
+    """Tiles level by level: every tile of the grid against every box near it, then those that finer ones cover."""
+    parts = ["b as (select least(x1, x2) as a, least(y1, y2) as b, greatest(x1, x2) as c, greatest(y1, y2) as d from rails)", "e as (select min(a) - 20000 as x0, min(b) - 20000 as y0, max(c) + 20000 as x1, max(d) + 20000 as y1 from b)"]
+    covered = []
+    for lod, metres, low, high in T.LEVELS:
+        side, f = metres * 256, int(metres / 10)
+        parts.append(f"""p{lod} as (select c.i as col, r.i as row, (c.i + q.dx) * {side} as x, (r.i + q.dy) * {side} as y from e, range(-200, 300) c(i), range(-200, 300) r(i), (values (0.5, 0.5), (0, 0), (1, 0), (0, 1), (1, 1)) q(dx, dy)
+ where c.i >= floor(x0 / {side}) and c.i < ceil(x1 / {side}) and r.i >= floor(y0 / {side}) and r.i < ceil(y1 / {side}))""")
+        near = "floor(b.c / 10000) >= floor(p.x / 10000) - 3 and floor(b.a / 10000) <= floor(p.x / 10000) + 3 and floor(b.d / 10000) >= floor(p.y / 10000) - 3 and floor(b.b / 10000) <= floor(p.y / 10000) + 3"
+        parts.append(f"d{lod} as (select col, row, min(case when b.a is null then 1e18 else sqrt(pow(greatest(b.a - p.x, p.x - b.c, 0), 2) + pow(greatest(b.b - p.y, p.y - b.d, 0), 2)) end) as distance from p{lod} p left join b on {near} group by col, row)")
+        band = f"select col, row, distance from d{lod} where distance >= {low} and distance < {high}"
+        if covered:
+            parts.append(f"v{lod} as (select distinct x, y from ({' union all '.join(covered)}))")
+            band = f"select distinct q.col, q.row, q.distance from ({band}) q cross join range({f}) i(i) cross join range({f}) j(j) left join v{lod} v on v.x = q.col * {f} + i.i and v.y = q.row * {f} + j.j where v.x is null"
+        parts.append(f"t{lod} as (select {lod} as lod, col, row, distance from ({band}))")
+        covered.append(f"select col * {f} + i.i as x, row * {f} + j.j as y from t{lod}, range({f}) i(i), range({f}) j(j)")
+    return "with " + ", ".join(parts) + ", tiles as (" + " union all ".join(f"select * from t{level[0]}" for level in T.LEVELS) + ")"
+
+
+@query(f"{_lod_sql()} select cast(lod as int) as lod, col, row, round(distance, 4) as distance from tiles", "rails")
 def lod_tiles(spark, sf_dir):
-    # Four levels with suppression between them; held against a plain loop in tests.
     return rounded(_lod(spark, sf_dir))
 
 
-@query()
+@query(f"{_lod_sql()} select cast(lod as int) as lod, count(*) as n_tiles from tiles group by lod", "rails")
 def tiles_per_lod(spark, sf_dir):
     return T.tiles_per_lod(_lod(spark, sf_dir))
 
@@ -435,21 +459,26 @@ def network_stats(spark, sf_dir):
     return lines.agg((F.sum("len") / 1000).cast("int").alias("total_km"), F.count("*").alias("n_segments"), F.count_if(F.col("kategori").isin("E", "R", "F")).alias("n_main"), F.countDistinct("kategori").alias("n_names"))
 
 
-@query()
+@query(f"""{_lod_sql()} select cast(lod as int) as lod, cast(10 * pow(2, lod) as double) as resolution, cast(2560 * pow(2, lod) as double) as extent, count(*) as n, (select count(*) from tiles) as n_all, 'EPSG:25833' as crs from tiles group by lod""", "rails")
 def tile_manifest(spark, sf_dir):
-    # JSON text; its figures are those of tiles_per_lod and network_stats.
-    return T.manifest(_lod(spark, sf_dir), network_stats(spark, sf_dir))
+    # The manifest's JSON, read back.
+    bounds = _boxes(spark, sf_dir, "rails").agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"))
+    text = E.manifest(_lod(spark, sf_dir), bounds, network_stats(spark, sf_dir))
+    read = text.select(F.from_json("manifest", "crs string, lodLevels array<struct<lod:int,resolution:double,tileExtent:double,count:long>>, stats struct<totalTiles:long>").alias("m"))
+    return read.select("m.crs", F.col("m.stats.totalTiles").alias("n_all"), F.explode("m.lodLevels").alias("v")).select(F.col("v.lod").alias("lod"), F.col("v.resolution").alias("resolution"), F.col("v.tileExtent").alias("extent"), F.col("v.count").alias("n"), "n_all", "crs").where("n > 0")
 
 
-@query()
+@query("""with t as (select cast(floor(x / 512) as bigint) as col, cast(floor(y / 512) as bigint) as row, 'Stop "' || id || '"' as name, x from stops) select col, row, count(*) as n, string_agg(name, '; ' order by name) as names, round(sum(x), 2) as sum_x from t group by col, row""", "stops")
 def tile_meta(spark, sf_dir):
+    # Each tile's JSON, read back: names with quotes are escaped.
     stops = relation(spark, sf_dir, "stops").select(F.format_string('Stop "%d"', "id").alias("name"), "x", "y")
-    return T.tile_meta(X.in_tile(stops, 512.0))
+    read = T.tile_meta(X.in_tile(stops, 512.0)).withColumn("m", F.from_json("meta", "n long, stations array<struct<name:string,x:double,y:double>>"))
+    return read.select("col", "row", F.col("m.n").alias("n"), F.array_join(F.array_sort(F.transform("m.stations", lambda p: p["name"])), "; ").alias("names"), F.round(F.aggregate("m.stations", F.lit(0.0), lambda a, p: a + p["x"]), 2).alias("sum_x"))
 
 
-@query()
+@query("""with b as (select seg_id as id, min(x) as min_x, min(y) as min_y, max(x) as max_x, max(y) as max_y, count(*) as nv from vertices group by seg_id)
+select c.i as col, r.i as row, count(*) as n_roads, cast(4 + sum(12 + 12 * nv) as bigint) as n_bytes from b join range(-1, 9) c(i) on min_x < (c.i + 1) * 10240 and max_x > c.i * 10240 join range(-1, 9) r(i) on min_y < (r.i + 1) * 10240 and max_y > r.i * 10240 group by all""", "vertices")
 def road_tile_blocks(spark, sf_dir):
-    # Binary blocks; read back in tests.
     lines = _lines(spark, sf_dir, "kategori", "nummer")
     over = X.tile_overlaps(lines.select(F.col("seg_id").alias("id"), *[c.alias(n) for n, c in X.bounds().items()]), 10240.0)
     return formats.road_tiles(over.withColumnRenamed("id", "seg_id").join(lines, "seg_id")).select("col", "row", "n_roads", F.length("block").cast("long").alias("n_bytes"))
@@ -476,11 +505,15 @@ def first_end_per_cell(spark, sf_dir):
     return N.first_per_cell(N.ends(_lines(spark, sf_dir)), 100.0)
 
 
-@query()
+@query("""with k as (select id % 29 as nummer, id // 29 as k from places), m as (select nummer, min(k) as a, max(k) as b, min(29 * k + nummer) as first_id from k group by nummer)
+select case when nummer % 2 = 0 then 'E' else 'R' end as kategori, cast(nummer as int) as nummer, i.i as pos, cast((b + 1 - i.i) * 100 as double) as x, cast(nummer * 1000 as double) as y, cast((b + 1 - i.i) * 10 as double) as z from m, range(0, 2000) i(i) where i.i <= b - a + 1""", "places")
 def road_chains(spark, sf_dir):
-    # Greedy nodes and longest shortest paths per road; held against exact cases in tests.
-    rows = relation(spark, sf_dir, "roads").select(F.when(F.col("id") % 2 == 0, "E").otherwise("R").alias("kategori"), (F.col("id") % 29).cast("int").alias("nummer"), F.col("id").alias("seg_id"), F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"), F.col(f"z{k}").alias("z")) for k in (1, 2)]).alias("coords"))
-    return rounded(N.chains(rows, tolerance=400.0))
+    # A road's segments lie end to end, some of them turned round, so its chain is all of its vertices.
+    at = lambda k: F.struct((k * 100.0).alias("x"), (F.col("id") % 29 * 1000.0).alias("y"), (k * 10.0).alias("z"))
+    k = F.floor(F.col("id") / 29)
+    turned = F.when(k % 3 == 1, F.array(at(k + 1), at(k))).otherwise(F.array(at(k), at(k + 1)))
+    rows = relation(spark, sf_dir, "places").select(F.when(F.col("id") % 29 % 2 == 0, "E").otherwise("R").alias("kategori"), (F.col("id") % 29).cast("int").alias("nummer"), F.col("id").alias("seg_id"), turned.alias("coords"))
+    return rounded(N.chains(rows))
 
 
 @query()
@@ -492,8 +525,11 @@ def junction_kinds(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from waymark.plans import more  # noqa: F401
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLES)

@@ -17,13 +17,15 @@ from io import BytesIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # TIFF tags and the sizes of its field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_AT, ROWS, STRIP_SIZE, FORMAT, SCALE, TIE, NO_DATA = 256, 257, 258, 259, 273, 278, 279, 339, 33550, 33922, 42113
 TILE_W, TILE_H, TILE_AT, TILE_SIZE = 322, 323, 324, 325
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
-RASTER = "path string, x0 double, y0 double, step double, width int, height int, cells array<double>"
+RASTER = "path string, x0 double, y0 double, step double, width int, height int, cells array<float>"
 
 
 def decode_tiff(data: bytes) -> tuple[float, float, float, np.ndarray]:
@@ -74,15 +76,18 @@ def rasters(spark: SparkSession, path: str) -> DataFrame:
         elif data[:2] in (b"II", b"MM"):
             yield name, data
 
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                for inner, data in found(name, content):
+                for inner, data in found(name.as_py(), content.as_py()):
                     x0, y0, step, cells = decode_tiff(data)
-                    values = [None if v else float(c) for v, c in zip(np.isnan(cells).ravel(), cells.ravel(), strict=True)]
-                    yield pd.DataFrame([(inner, x0, y0, step, cells.shape[1], cells.shape[0], values)], columns=["path", "x0", "y0", "step", "width", "height", "cells"])
+                    flat = cells.ravel().astype(np.float32)
+                    # One raster a batch, as an Arrow list of floats; no data is null, by a mask.
+                    values = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat, mask=np.isnan(flat)))
+                    columns = [pa.array([inner]), *[pa.array([v], pa.float64()) for v in (x0, y0, step)], pa.array([cells.shape[1]], pa.int32()), pa.array([cells.shape[0]], pa.int32()), values]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "x0", "y0", "step", "width", "height", "cells"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decoded, RASTER)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decoded, RASTER)
 
 
 def geopackage(spark: SparkSession, path: str, layer: str, schema: str) -> DataFrame:
@@ -152,7 +157,7 @@ def _sums(deltas: list[int]) -> list[int]:
 
 
 def osm_elements(data: bytes) -> Iterator[tuple]:
-    """(kind, id, lon, lat, refs, tags) of the nodes and ways of an OSM PBF file."""
+    """(kind, id, lon, lat, refs, roles, tags) of the nodes, ways and relations of an OSM PBF file."""
     at = 0
     while at < len(data):
         size = struct.unpack_from(">I", data, at)[0]
@@ -184,17 +189,29 @@ def osm_elements(data: bytes) -> Iterator[tuple]:
                             k += 2
                     runs += [{}] * (len(ids) - len(runs))
                     for i, la, lo, t in zip(ids, lats, lons, runs, strict=True):
-                        yield "node", i, place(lo, lon0), place(la, lat0), [], t
-                elif kind == 3:
+                        yield "node", i, place(lo, lon0), place(la, lat0), [], [], t
+                elif kind in (1, 3, 4):
                     t = {text[a]: text[b] for a, b in zip(_packed(f.get(2, b"")), _packed(f.get(3, b"")), strict=True)}
-                    yield "way", f[1], None, None, _sums(_packed(f.get(8, b""), True)), t
+                    if kind == 1:
+                        signed = lambda v: (v >> 1) ^ -(v & 1)
+                        yield "node", signed(f[1]), place(signed(f[9]), lon0), place(signed(f[8]), lat0), [], [], t
+                    elif kind == 3:
+                        yield "way", f[1], None, None, _sums(_packed(f.get(8, b""), True)), [], t
+                    else:
+                        # Only ways make up areas; a member of another type is left out.
+                        members = zip(_sums(_packed(f.get(9, b""), True)), _packed(f.get(8, b"")), _packed(f.get(10, b"")), strict=True)
+                        refs = [(ref, text[role]) for ref, role, type_ in members if type_ == 1]
+                        yield "relation", f[1], None, None, [r for r, _ in refs], [r for _, r in refs], t
 
 
 def osm(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes and ways of the OSM PBF files under ``path``: kind, id, lon, lat, refs, tags."""
+    """Nodes, ways and relations of the OSM PBF files under ``path``: kind, id, lon, lat, refs, roles, tags.
+
+    A file is read in one task, and its blocks are decoded one after another.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["kind", "id", "lon", "lat", "refs", "tags"]
+        names = ["kind", "id", "lon", "lat", "refs", "roles", "tags"]
         for batch in batches:
             for content in batch["content"]:
                 rows = []
@@ -206,4 +223,54 @@ def osm(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "kind string, id long, lon double, lat double, refs array<long>, tags map<string,string>")
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "kind string, id long, lon double, lat double, refs array<long>, roles array<string>, tags map<string,string>")
+
+
+def _rings(ways: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """Closed rings from ways that share end points, joined in order; what doesn't close is left out."""
+    left, out = [list(w) for w in ways if len(w) >= 2], []
+    while left:
+        ring = left.pop(0)
+        while ring[0] != ring[-1]:
+            found = next((k for k, w in enumerate(left) if ring[-1] in (w[0], w[-1])), None)
+            if found is None:
+                break
+            way = left.pop(found)
+            ring += way[1:] if way[0] == ring[-1] else way[::-1][1:]
+        if ring[0] == ring[-1] and len(ring) >= 4:
+            out.append(ring)
+    return out
+
+
+def osm_features(elements: DataFrame) -> DataFrame:
+    """osm_id, kind (point, line, multipolygon), tags as ``"k"=>"v"`` text, and coords in degrees.
+
+    Tagged nodes are points. Closed ways with a building or area tag and
+    multipolygon relations are areas, of which coords is an outer ring, a row
+    each; other tagged ways are lines. Nodes that are missing are left out.
+    """
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('"=>"'), e["value"], F.lit('"'))), ",")
+    tagged = F.size("tags") > 0
+    nodes = elements.where("kind = 'node'")
+    points = nodes.where(tagged).select(F.col("id").alias("osm_id"), F.lit("point").alias("kind"), text.alias("tags"), F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("coords"))
+    refs = elements.where("kind = 'way'").select("id", F.posexplode("refs").alias("k", "ref"))
+    placed = refs.join(nodes.select(F.col("id").alias("ref"), "lon", "lat"), "ref")
+    lines = placed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", F.col("lon").alias("x"), F.col("lat").alias("y")))).alias("c"))
+    lines = lines.select(F.col("id").alias("way"), F.transform("c", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("coords"))
+    ways = elements.where("kind = 'way'").where(tagged).join(lines, F.col("id") == F.col("way"))
+    closed = (F.size("refs") >= 4) & (F.element_at("refs", 1) == F.element_at("refs", -1))
+    area = closed & (F.col("tags")["building"].isNotNull() | (F.col("tags")["area"] == "yes"))
+    kinds = F.when(F.coalesce(area, F.lit(False)), "multipolygon").otherwise("line")
+    of_ways = ways.select(F.col("id").alias("osm_id"), kinds.alias("kind"), text.alias("tags"), "coords").where(F.size("coords") >= 2)
+    relations = elements.where("kind = 'relation'").where(F.col("tags")["type"] == "multipolygon")
+    members = relations.select(F.col("id").alias("osm_id"), text.alias("tags"), F.posexplode(F.arrays_zip("refs", "roles")).alias("k", "m")).where(F.col("m.roles").isin("outer", ""))
+    outer = members.select("osm_id", "tags", "k", F.col("m.refs").alias("way")).join(lines, "way")
+
+    def assemble(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("k")
+        rings = _rings([[(p["x"], p["y"]) for p in c] for c in rows["coords"]])
+        made = [[{"x": x, "y": y} for x, y in ring] for ring in rings]
+        return pd.DataFrame({"osm_id": [key[0]] * len(made), "kind": ["multipolygon"] * len(made), "tags": [rows["tags"].iloc[0]] * len(made), "coords": made})
+
+    areas = outer.groupBy("osm_id").applyInPandas(assemble, "osm_id long, kind string, tags string, coords array<struct<x:double,y:double>>")
+    return points.unionByName(of_ways).unionByName(areas)
