@@ -184,7 +184,7 @@ def _pair(rows: pa.RecordBatch, least_percent: int) -> pa.RecordBatch | None:
 
 def _edges(members: DataFrame, sets: DataFrame, least_percent: int, size: int) -> DataFrame:
     """(node, root): edges that join the nodes of each group (pivot, fp) as its links do."""
-    dealt = members.groupBy("pivot").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = materialize(members.groupBy("pivot").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")))
     total = members.count()
     named = join_hot(members, dealt, "pivot", "n", total).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     named = materialize(named)
@@ -225,6 +225,7 @@ def near_groups(docs: DataFrame, width: int = 5, least_percent: int = 80, doc_id
     n_docs, n_nodes = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     keyed = nodes.select("fp", F.explode(F.array(*_keys("sig"))).alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(buckets)
     members = materialize(join_hot(keyed, buckets, "key", "n", CHUNK * CHUNKS * n_nodes).select("pivot", "fp").distinct())
     wanted = materialize(nodes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "doc_id", "n_shingles"))
     sets = materialize(_sets(docs, width, wanted.select("fp", "doc_id")))

@@ -25,7 +25,10 @@ read ``MOST_TRAINING`` bytes.  A text that does not fit is passed over.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -37,14 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import slices
+from waymark.llm.common import by_group, materialize, slices
 
 MOST_DOCS = {1: 3000, 0: 4000}
 MOST_BYTES, MOST_TRAINING = 12 << 20, 3 << 20
 #: Words of a window, windows of a segment, and bytes after which a long word is cut.
 WORDS, SEGMENT, LONGEST = 3, 400, 64
-#: zstandard's level, which parses short inputs in full, and the dictionaries' body in bytes.
-LEVEL, BODY = 16, 64 << 10
+#: zstandard's level, which parses short inputs in full, the dictionaries' body, and the inputs' usual bytes.
+LEVEL, BODY, SHORT = 16, 64 << 10, 128
 #: Bytes of a class's part and rounds of refinement; held-back rows choose among them.
 SHAPES = ((4 << 10, 1), (8 << 10, 2))
 #: Cells of the table: difference in bytes, and raw length of the window in steps of six bytes.
@@ -110,11 +113,13 @@ def windows(text: str | None) -> list[bytes]:
     return Windows.of([text]).texts()
 
 
-@lru_cache(8)
+@lru_cache(2)
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    # Tables for short inputs beside a dictionary, of some megabytes; only the two of one model are kept.
+    shape = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=SHORT, dict_size=len(content), write_content_size=False, write_dict_id=False)
     known = zstandard.ZstdCompressionDict(content)
-    known.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
+    known.precompute_compress(compression_params=shape)
+    return zstandard.ZstdCompressor(dict_data=known, compression_params=shape)
 
 
 def _sizes(content: bytes, found: list[bytes], threads: int) -> np.ndarray:
@@ -135,11 +140,10 @@ def _grams(text: bytes) -> np.ndarray:
 
 
 @lru_cache(4)
-def _own_grams(base: bytes, toxic: bytes, ordinary: bytes) -> np.ndarray:
-    """Which strings of ``GRAM`` bytes a class's part has and the base has not."""
+def _own_grams(base: bytes, toxic: bytes) -> np.ndarray:
+    """Which strings of ``GRAM`` bytes the toxic part has and the base has not."""
     own = np.zeros(1 << GRAM_BITS, dtype=bool)
-    for part in (toxic, ordinary):
-        own[_grams(part)] = True
+    own[_grams(toxic)] = True
     own[_grams(base)] = False
     return own
 
@@ -163,11 +167,11 @@ class Toxicity:
     def differences(self, found: Windows, threads: int = 1) -> np.ndarray:
         """Bytes by which the toxic dictionary makes each window shorter than the ordinary one.
 
-        A window none of whose strings of ``GRAM`` bytes is in a class's part
-        only has nothing to gain there: its difference is 0.
+        A window none of whose strings of ``GRAM`` bytes is in the toxic part
+        only has nothing to gain there: its difference counts as 0.
         """
         out = np.zeros(len(found.begin), dtype=np.int64)
-        own = _own_grams(self.base, self.toxic, self.ordinary)
+        own = _own_grams(self.base, self.toxic)
         marks = np.zeros(len(found.plain) + 1, dtype=np.int32)
         for at in range(0, len(found.plain), 1 << 18):
             here = own[_grams(found.plain[at : at + (1 << 18) + GRAM - 1])]
@@ -229,12 +233,12 @@ def _candidate(base: bytes, halves: list[list[bytes]], plain: list[bytes], size:
     for _ in range(rounds):
         mined = []
         for own, other in zip(halves, parts[::-1], strict=True):
-            saved = _model(base, other, ordinary).differences(Windows.listed(own), -1)
+            saved = _model(base, other, ordinary).differences(Windows.listed(own))
             order = np.argsort(-saved, kind="stable")[: max(100, len(own) // 20)]
             mined.append([own[i] for i in order.tolist() if saved[i] > 0])
         parts = [_part(size, m or own) for m, own in zip(mined, halves, strict=True)]
         toxic = _part(size, mined[0] + mined[1] or halves[0] + halves[1])
-        saved = _model(base, toxic, b"").differences(Windows.listed(plain), -1)
+        saved = _model(base, toxic, b"").differences(Windows.listed(plain))
         ordinary = _part(2 * size, [plain[i] for i in np.flatnonzero(saved > 1).tolist()])
     return _model(base, toxic, ordinary)
 
@@ -252,21 +256,21 @@ def _calibrated(model: Toxicity, toxic: list[str], ordinary: list[str]) -> tuple
     for texts in (toxic, ordinary):
         n = np.zeros(LENGTHS * (HIGH - LOW + 1))
         for at in range(0, len(texts), 50):
-            n += np.bincount(model.cells(Windows.of(texts[at : at + 50]), -1), minlength=len(n))
+            n += np.bincount(model.cells(Windows.of(texts[at : at + 50])), minlength=len(n))
         counts.append(n)
     ratio = _table(counts[0]) / _table(counts[1])
     kept = ratio >= LEAST_RATIO
     left = [1 - n[kept].sum() / max(1.0, n.sum()) for n in counts]
     evidence = np.where(kept, np.log(np.minimum(ratio, 1000.0)), math.log(max(left[0], 0.01) / max(left[1], 0.01)))
     model = replace(model, evidence=np.minimum(evidence, np.where(kept, evidence, 0.0)))
-    clean, found = (np.concatenate([model.of_texts(x[at : at + 50], -1) for at in range(0, len(x), 50)]) for x in (ordinary, toxic))
+    clean, found = (np.concatenate([model.of_texts(x[at : at + 50]) for at in range(0, len(x), 50)]) for x in (ordinary, toxic))
     clean = np.sort(clean)
     cut = max(LEAST_CUT, float(clean[min(len(clean) - 1, int((1 - MOST_FALSE) * len(clean)))]) + 0.25)
     return float((found >= cut).mean()), replace(model, cut=cut)
 
 
-def fit_texts(toxic: list[str], ordinary: list[str]) -> Toxicity | None:
-    """Learn from texts; two thirds make the dictionaries, a third the table and the cut. None without both classes."""
+def _fitted(toxic: list[str], ordinary: list[str], size: int, rounds: int) -> tuple[float, Toxicity] | None:
+    """The model of one shape and the share of held-back toxic texts that it finds."""
     toxic, ordinary = ([t for t in x if windows(t)] for x in (toxic, ordinary))
     if not toxic or not ordinary:
         return None
@@ -279,13 +283,14 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Toxicity | None:
         base = zstandard.train_dictionary(BODY, plain, k=16, d=8, f=20, accel=1, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         base = b"".join(plain)[-BODY:]
-    best = None
-    for size, rounds in SHAPES:
-        model = _candidate(base, halves, plain, size, rounds)
-        found = _calibrated(model, toxic[part[1] :] or toxic, ordinary[part[0] :] or ordinary)
-        if best is None or found[0] > best[0]:
-            best = found
-    return best[1]
+    model = _candidate(base, halves, plain, size, rounds)
+    return _calibrated(model, toxic[part[1] :] or toxic, ordinary[part[0] :] or ordinary)
+
+
+def fit_texts(toxic: list[str], ordinary: list[str]) -> Toxicity | None:
+    """Learn from texts; two thirds make the dictionaries at most, the rest the table and the cut. None without both classes."""
+    found = [f for size, rounds in SHAPES if (f := _fitted(toxic, ordinary, size, rounds))]
+    return max(found, key=lambda f: f[0])[1] if found else None
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -293,25 +298,54 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(True))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, label: int) -> list[str]:
+def _sample(docs: DataFrame, labels: DataFrame, label: int) -> DataFrame:
+    """(label, place, doc_id, text): a bounded sample of one class, in the order of place, doc_id and text."""
     ids = labels.where((F.col("toxic") == label) & ~held_out()).select("doc_id").distinct()
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCS[label])
     # At most MOST_DOCS ids, so they are broadcast; longer texts could not fit in the sample.
     rows = docs.where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").limit(2 * MOST_DOCS[label])
+    rows = rows.select(F.lit(label).alias("label"), F.xxhash64("doc_id").alias("place"), "doc_id", "text")
+    return rows.orderBy("place", "doc_id", "text").limit(2 * MOST_DOCS[label])
+
+
+def _within(texts: list[str]) -> list[str]:
+    """As many of the texts as ``MOST_BYTES`` hold; one that doesn't fit is passed over."""
     out, left = [], MOST_BYTES
-    for row in rows.toLocalIterator():
-        size = len(row.text.encode())
-        if size <= left:
+    for text in texts:
+        if (size := len(text.encode())) <= left:
             left -= size
-            out.append(row.text)
+            out.append(text)
     return out
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: the Python worker goes on to other tasks."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # Not glibc.
+
+
+def _fit_rows(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+    """The pickled model that the sampled rows give, in the sample's order."""
+    rows = pa.Table.from_batches([rows]).sort_by([(c, "ascending") for c in ("label", "place", "doc_id", "text")])
+    labels = rows["label"].to_pylist()
+    classes = [_within([t.as_py() for t, y in zip(rows["text"], labels, strict=True) if y == label]) for label in (1, 0)]
+    model = fit_texts(*classes)
+    made = pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"]) if model else None
+    del rows, labels, classes, model
+    _compressor.cache_clear()
+    _give_back()
+    return made
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Toxicity | None:
-    """Learn from labelled rows that are not :func:`held_out`, a bounded sample of each class."""
-    docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
-    return fit_texts(_sample(docs, labels, 1), _sample(docs, labels, 0))
+    """Learn from labelled rows that are not :func:`held_out`, a bounded sample of each class, in one task."""
+    docs, labels = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select("doc_id", "toxic")
+    sample = materialize(_sample(docs, labels, 1).unionByName(_sample(docs, labels, 0))).withColumn("all", F.lit(0))
+    models = by_group(sample, ["all"], _fit_rows, "model binary").collect()
+    return pickle.loads(models[0].model) if models else None
 
 
 def with_scores(docs: DataFrame, model: Toxicity | None, score: str, text: str = "text") -> DataFrame:
