@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -73,6 +75,28 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = to
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker goes on to other tasks and keeps what it doesn't give back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # Not glibc.
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the task gives its memory back."""
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return done
+
+
 def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``fn`` to slices of ``df`` that are bounded by the text in ``column``."""
 
@@ -80,7 +104,7 @@ def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
         for piece in slices(batches, column):
             yield fn(piece)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -130,7 +154,7 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], pa.R
         if (out := fn(rows)) is not None:
             yield out
 
-    return df.repartition(partitions(df.sparkSession, size), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(partitions(df.sparkSession, size), *keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
 
 
 def join_hot(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:

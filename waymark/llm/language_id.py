@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from waymark.llm.common import by_group, materialize, slices
+from waymark.llm.common import by_group, materialize, slices, tidy
 from waymark.llm.shingles import text_buffers
 
 #: Labelled texts a language is learned from, in the order of a hash of doc_id.
@@ -99,7 +99,7 @@ def fit(docs: DataFrame) -> Trigrams:
     ids = named.select("doc_id", "lang").distinct().withColumn("place", place).where(F.col("place") <= MOST_DOCS).select("doc_id", "lang")
     # At most MOST_DOCS ids a language are broadcast, so texts needn't be shuffled.
     sample = named.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    counts = sample.mapInArrow(_counted, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(_counted), "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     # Languages whose sample has no trigrams, too.
     every = named.groupBy("lang").agg(F.lit(None).cast("long").alias("cell"), F.lit(None).cast("long").alias("n"))
     languages, tables = [], []
@@ -119,7 +119,7 @@ def _text_evidence(rows: DataFrame, model: Trigrams, text: str, out: str) -> Dat
             found = np.pad(model.evidence(batch[text]), ((0, 0), (0, 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.float64()))], [*batch.schema.names, out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 def _best(evidence: str) -> Column:

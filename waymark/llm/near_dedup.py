@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import by_group, free_name, join_hot, map_text, materialize, slices
+from waymark.llm.common import by_group, free_name, join_hot, map_text, materialize, slices, tidy
 from waymark.llm.components import components, local_roots
 from waymark.llm.shingles import minhash, mix, shingle_sets
 
@@ -59,7 +59,7 @@ def with_fingerprint(docs: DataFrame, text: str, width: int, out: str) -> DataFr
             fps = [_fingerprint(s) if len(s) else None for s in shingle_sets(batch[text], width)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, least_percent: int = 80) -> DataFrame:

@@ -25,8 +25,6 @@ read ``MOST_TRAINING`` bytes.  A text that does not fit is passed over.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import math
 import pickle
 from collections.abc import Iterable, Iterator
@@ -40,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import by_group, materialize, slices
+from waymark.llm.common import by_group, materialize, slices, tidy
 
 MOST_DOCS = {1: 3000, 0: 4000}
 MOST_BYTES, MOST_TRAINING = 12 << 20, 3 << 20
@@ -318,15 +316,6 @@ def _within(texts: list[str]) -> list[str]:
     return out
 
 
-def _give_back() -> None:
-    """Return freed memory to the system: the Python worker goes on to other tasks."""
-    gc.collect()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass  # Not glibc.
-
-
 def _fit_rows(rows: pa.RecordBatch) -> pa.RecordBatch | None:
     """The pickled model that the sampled rows give, in the sample's order."""
     rows = pa.Table.from_batches([rows]).sort_by([(c, "ascending") for c in ("label", "place", "doc_id", "text")])
@@ -334,9 +323,7 @@ def _fit_rows(rows: pa.RecordBatch) -> pa.RecordBatch | None:
     classes = [_within([t.as_py() for t, y in zip(rows["text"], labels, strict=True) if y == label]) for label in (1, 0)]
     model = fit_texts(*classes)
     made = pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"]) if model else None
-    del rows, labels, classes, model
     _compressor.cache_clear()
-    _give_back()
     return made
 
 
@@ -358,7 +345,7 @@ def with_scores(docs: DataFrame, model: Toxicity | None, score: str, text: str =
             found = model.scores(batch[text].to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
