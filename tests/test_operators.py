@@ -242,3 +242,12 @@ def test_line_stats_of_a_line_that_ends_on_a_pixel_edge(spark):
     found = dense.join(R.sample_first(dense.select("id", "x", "y"), rasters, 560.0), "id")
     stats = P.line_stats(P.clean(found)).first()
     assert stats.length_km == pytest.approx(1.5 * 12 / 13)
+
+
+def test_max_elevation_of_a_line_that_ends_on_a_pixel_edge(spark):
+    # The last sample is where there are no data, so the 1000 m that end there are not reached.
+    cells = [1000.0 if k % 8 == 2 else None if k % 8 > 2 else 100.0 for k in range(64)]
+    rasters = spark.createDataFrame([(1, 490.0, 3010.0, 70.0, 8, 8, cells), (2, 0.0, 3100.0, 70.0, 8, 8, [50.0] * 64)], "tile_id long, x0 double, y0 double, step double, width int, height int, cells array<double>")
+    dense = rails.samples(_edge_line(spark)).withColumn("id", F.struct("seg_id", "sample"))
+    found = dense.join(R.sample_first(dense.select("id", "x", "y"), rasters, 560.0), "id")
+    assert P.line_stats(P.drop_failed(found)).first().max_elevation < 600
