@@ -310,3 +310,14 @@ def test_polygons_under_one_that_fills_a_cell_are_left_out(spark):
     polygons = spark.createDataFrame(rings, "ord long, artype int, ring array<struct<x:double,y:double>>")
     kept = {(r.cx, r.cy): r.n for r in R.uppermost(polygons, 10.0).groupBy("cx", "cy").agg(F.count("*").alias("n")).collect()}
     assert kept[0, 0] == 2 and kept[1, 1] == 1 and kept[-1, 0] == 30
+
+
+def test_a_tile_of_many_roads_is_made_in_parts(spark):
+    roads = [(0, 0, i, "ERFK"[i % 4], i % 9, [(float(i), k + 0.5, None if k == 2 else 3.0) for k in range(2 + i % 3)]) for i in range(50)]
+    rows = spark.createDataFrame(roads[::-1], "col long, row long, seg_id long, kategori string, nummer int, coords array<struct<x:double,y:double,z:double>>")
+    block = formats.road_tiles(rows).first()
+    plain = formats.roads_block([{"kategori": k, "nummer": n, "xyz": [(x, y, math.nan if z is None else z) for x, y, z in c]} for *_, k, n, c in roads])
+    assert block.n_roads == 50 and bytes(block.block) == plain
+    parts = sorted(formats.road_parts(formats.road_pieces(rows, "col", "row", "seg_id"), most=200, together=16).collect(), key=lambda r: r.first_id)
+    assert max(len(r.part) for r in parts) <= 200 and sum(r.n_roads for r in parts) == 50
+    assert struct.pack("<I", 50) + b"".join(bytes(r.part) for r in parts) == plain

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,15 +87,67 @@ def platforms_block(platforms: list[dict]) -> bytes:
     return b"".join(out)
 
 
+def road_pieces(roads: DataFrame, *carried: str) -> DataFrame:
+    """The ``carried`` columns and ``piece``, a road's bytes in a block, of roads (..., kategori, nummer, coords)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coords = batch["coords"]
+            sizes, flat = [n or 0 for n in pc.list_value_length(coords).to_pylist()], coords.flatten()
+            raw = np.stack([flat.field(v).to_numpy(zero_copy_only=False) for v in "xyz"], axis=1).astype("<f4").tobytes()
+            at, made = 0, []
+            for kategori, nummer, n in zip(batch["kategori"].to_pylist(), batch["nummer"].to_pylist(), sizes, strict=True):
+                made.append(struct.pack("<B3xII", ord(kategori), nummer, n) + raw[at : at + 12 * n])
+                at += 12 * n
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in carried], pa.array(made, pa.binary())], [*carried, "piece"])
+
+    kept = roads.select(*carried)
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return roads.select(*carried, "kategori", "nummer", "coords").mapInArrow(pack, f"{names}, piece binary")
+
+
+def road_parts(pieces: DataFrame, most: int = 4 << 20, together: int = 1 << 16) -> DataFrame:
+    """(col, row, first_id, n_roads, part): a tile's pieces (col, row, seg_id, piece) by seg_id, end to end, in parts.
+
+    A tile's block is the number of its roads and its parts in order of first_id.
+    A part closes at ``most`` bytes and holds no more than ``together`` ids, so
+    no task needs a whole tile, however many roads it has.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, held, size = None, 0, [], 0
+        part = lambda: pa.RecordBatch.from_pylist([{"col": key[0], "row": key[1], "first_id": first, "n_roads": len(held), "part": b"".join(held)}], out)
+        for batch in batches:
+            for col, row, span, seg, piece in zip(*[batch[c].to_pylist() for c in ("col", "row", "span", "seg_id", "piece")], strict=True):
+                if held and (key != (col, row, span) or size + len(piece) > most):
+                    yield part()
+                    held, size = [], 0
+                if not held:
+                    key, first = (col, row, span), seg
+                held.append(piece)
+                size += len(piece)
+        if held:
+            yield part()
+
+    out = pa.schema([("col", pa.int64()), ("row", pa.int64()), ("first_id", pa.int64()), ("n_roads", pa.int64()), ("part", pa.binary())])
+    keys = ["col", "row", "span"]
+    dealt = pieces.withColumn("span", F.floor(F.col("seg_id") / together)).select(*keys, "seg_id", "piece").repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, "seg_id").mapInArrow(join, "col long, row long, first_id long, n_roads long, part binary")
+
+
 def road_tiles(rows: DataFrame) -> DataFrame:
-    """(col, row, block) from rows (col, row, seg_id, kategori, nummer, coords): each tile's roads as one block."""
+    """(col, row, n_roads, block) from rows (col, row, seg_id, kategori, nummer, coords): each tile's roads as one block.
+
+    For tiles whose block fits a task; :func:`road_parts` has no such limit.
+    """
 
-    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg_id")
-        roads = [{"kategori": k, "nummer": n, "xyz": [(p["x"], p["y"], p["z"]) for p in c]} for k, n, c in zip(pdf["kategori"], pdf["nummer"], pdf["coords"], strict=True)]
-        return pd.DataFrame({"col": [key[0]], "row": [key[1]], "n_roads": [len(roads)], "block": [roads_block(roads)]})
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first_id", kind="stable")
+        n = int(pdf["n_roads"].sum())
+        return pd.DataFrame({"col": [key[0]], "row": [key[1]], "n_roads": [n], "block": [struct.pack("<I", n) + b"".join(pdf["part"])]})
 
-    return rows.groupBy("col", "row").applyInPandas(packed, "col long, row long, n_roads long, block binary")
+    parts = road_parts(road_pieces(rows, "col", "row", "seg_id"))
+    return parts.groupBy("col", "row").applyInPandas(whole, "col long, row long, n_roads long, block binary")
 
 
 def layer_of(kind: str, railway: str, tags: str):
