@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 
@@ -127,3 +128,45 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
 def test_no_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert shape_of(0, 0.98)[0] >= 1
+
+
+def _shuffled(spark, run):
+    """Bytes that the jobs of ``run`` write to shuffles."""
+
+    def written():
+        time.sleep(0.3)
+        spark.range(1).count()  # the store takes in what came before
+        time.sleep(0.3)
+        return sum(e.totalShuffleWrite() for e in (lambda found: [found.apply(i) for i in range(found.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+    before = written()
+    run()
+    return written() - before
+
+
+def test_sets_are_shuffled_once_by_fingerprint_and_once_a_group(spark, monkeypatch):
+    from waymark.llm import near_dedup
+
+    # Groups of several chunks, so that both passes over a group are run, and equal texts under one id.
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "join_hot", lambda rows, facts, key, n, total: rows.join(facts.drop(n), key))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng, texts = random.Random(4), []
+        for g in range(40):
+            base = [f"g{g}w{i}" for i in range(1500)]
+            for _ in range(12 if g == 0 else 3):
+                copy = list(base)
+                copy[rng.randrange(1500)] = f"n{len(texts)}"
+                texts.append(" ".join(copy))
+        rows = [*enumerate(texts), (0, texts[0]), (0, texts[0])]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+        got = []
+        moved = _shuffled(spark, lambda: got.extend(near_groups(docs).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {r.doc_id: r.component_id for r in got} == {i: 0 if i < 12 else 12 + (i - 12) // 3 * 3 for i in range(len(texts))}
+    sets = 8 * sum(len(_set(t, 5)) for t in texts)
+    # Once by fp, once to the 1 or 2 groups that a node is in; before, each set went to four shuffles and more.
+    assert moved < 3.5 * sets

@@ -95,35 +95,54 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     return map_text(docs, "text", run, "doc_id long, n_shingles long, fp long, sig array<long>")
 
 
-def _bitmap(fps: DataFrame) -> bytes:
-    """2^``BITMAP`` bits, whatever the corpus, of which those of the ``fps`` are set."""
-    place = F.pmod("fp", F.lit(1 << BITMAP)) + 1
-    parts = fps.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("at"))
+def _bitmap(values: DataFrame, value: Column) -> bytes:
+    """2^``BITMAP`` bits, whatever the corpus, of which those of each ``value`` are set."""
+    place = F.pmod(value, F.lit(1 << BITMAP)) + 1
+    parts = values.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("at"))
     out = bytearray(1 << BITMAP - 3)
     for part, bits in parts.groupBy("part").agg(F.bitmap_construct_agg("at")).collect():
         out[(part - 1) * 4096 : part * 4096] = bits
     return bytes(out)
 
 
+def _marked(bitmap: bytes, values: np.ndarray) -> np.ndarray:
+    """Which of the values have their bit set."""
+    place = values & ((1 << BITMAP) - 1)
+    return (np.frombuffer(bitmap, dtype=np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """fp and the shingle set of each of the ``wanted`` (fp, doc_id).
+    """fp and the shingle set of each of the ``wanted`` (fp, doc_id), and of few others; a fp may come again.
 
-    The texts are read once more; a bitmap tells at once most of those that
-    are not wanted, so that texts needn't be shuffled, and a join the rest.
+    The texts are read once more; a bitmap tells most of those that are not
+    wanted, so that neither texts nor their sets need be shuffled here.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, F.col("fp").bitwiseXOR(F.coalesce("doc_id", F.lit(0)))))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        marks = np.frombuffer(shared.value, dtype=np.uint8)
-        found = list(shingle_sets(batch["text"], width))
-        fps = np.array([_fingerprint(s) if len(s) else 0 for s in found], dtype=np.int64)
-        place = fps & ((1 << BITMAP) - 1)
-        some = np.flatnonzero((marks[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool) & np.array([len(s) > 0 for s in found]))
-        return pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(some)), pa.array(fps[some]), pa.array([found[k].view(np.int64) for k in some], pa.list_(pa.int64()))], ["id", "fp", "shingles"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, "text"):
+            found = list(shingle_sets(batch["text"], width))
+            fps = np.array([_fingerprint(s) if len(s) else 0 for s in found], dtype=np.int64)
+            marked = _marked(shared.value, fps ^ np.array(batch["doc_id"].fill_null(0), dtype=np.int64)) & np.array([len(s) > 0 for s in found])
+            some = [k for k in np.flatnonzero(marked).tolist() if not (fps[k] in seen or seen.add(fps[k]))]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(fps[some]), pa.array([found[k].view(np.int64) for k in some], pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    return docs.mapInArrow(tidy(run), "fp long, shingles array<long>")
+
+
+def _those(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``sets`` of the fp of ``wanted``, and few others, found without shuffling any."""
+    shared = sets.sparkSession.sparkContext.broadcast(_bitmap(wanted, F.col("fp")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marked = _marked(shared.value, batch["fp"].to_numpy())
+            if marked.any():
+                yield batch.filter(pa.array(marked))
 
-    found = map_text(docs, "text", run, "id long, fp long, shingles array<long>")
-    asked = wanted.select(F.col("fp").alias("f"), F.col("doc_id").alias("d"))
-    return found.join(asked, (found["fp"] == asked["f"]) & found["id"].eqNullSafe(asked["d"]), "left_semi").dropDuplicates(["fp"]).select("fp", "shingles")
+    return sets.mapInArrow(tidy(run), sets.schema)
 
 
 def _intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -190,7 +209,8 @@ def _edges(members: DataFrame, sets: DataFrame, least_percent: int, size: int) -
     named = materialize(named)
     pivots = dealt.where("chunks > 1").select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks", F.col("pivot").alias("fp"))
     rows = named.where("chunks = 1 or fp <> pivot").select("pivot", "chunk", "chunks", "fp").unionByName(pivots.select("pivot", "chunk", "chunks", "fp"))
-    first = materialize(by_group(rows.join(sets, "fp"), ["pivot", "chunk"], lambda r: _chunk(r, least_percent), "pivot long, node long, root long, done boolean", size))
+    # One shuffle by fp serves to leave one set of each and to join.
+    first = materialize(by_group(rows.join(sets.dropDuplicates(["fp"]), "fp"), ["pivot", "chunk"], lambda r: _chunk(r, least_percent), "pivot long, node long, root long, done boolean", size))
     edges = first.where("node <> root").select("node", "root")
     left = first.where("not done").select("pivot", F.col("node").alias("fp"))
     if left.isEmpty():
@@ -203,7 +223,8 @@ def _edges(members: DataFrame, sets: DataFrame, least_percent: int, size: int) -
     asking = asking.select("pivot", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), span("chunks").alias("chunk"), "fp")
     asked = join_hot(named.select("pivot", "chunk", "fp"), blocks.select("pivot", "blocks").join(dealt.select("pivot", "n"), "pivot"), "pivot", "n", total)
     asked = asked.select("pivot", span("blocks").alias("block"), "chunk", "fp")
-    met = asking.unionByName(asked).distinct().join(sets, "fp")
+    met = materialize(asking.unionByName(asked).distinct())
+    met = met.join(_those(sets, met).dropDuplicates(["fp"]), "fp")
     return edges.unionByName(by_group(met, ["pivot", "block", "chunk"], lambda r: _pair(r, least_percent), "node long, root long", size))
 
 
