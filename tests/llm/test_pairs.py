@@ -170,3 +170,19 @@ def test_sets_are_shuffled_once_by_fingerprint_and_once_a_group(spark, monkeypat
     sets = 8 * sum(len(_set(t, 5)) for t in texts)
     # Once by fp, once to the 1 or 2 groups that a node is in; before, each set went to four shuffles and more.
     assert moved < 3.5 * sets
+
+
+def test_keys_of_one_node_are_not_shuffled_again(spark):
+    texts = [" ".join(f"d{i}w{k}" for k in range(20)) for i in range(4000)]
+    texts += [f"{t} more" for t in texts[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = []
+    try:
+        moved = _shuffled(spark, lambda: got.extend(near_groups(docs).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 4000 for i in range(4040)}
+    # 32 keys a node, each once and without its node; before, twice and with it.
+    assert moved < 25 * 32 * len(texts), moved / 32 / len(texts)

@@ -32,6 +32,9 @@ from waymark.llm.components import components, local_roots
 from waymark.llm.shingles import minhash, mix, shingle_sets
 
 CHUNK, CHUNKS = 4, 8
+#: For each key of a signature the symbols of its chunk that count, and what tells it from the other keys.
+_COUNT = np.array([~(0xFFFF << 16 * k) & 0xFFFFFFFFFFFFFFFF for k in range(CHUNK)], dtype=np.uint64)
+_WHICH = np.random.default_rng(20240608).integers(0, 1 << 64, (CHUNKS, CHUNK), dtype=np.uint64)
 #: Nodes of a group that are held against as many others in one task.
 BLOCK = 512
 #: Log2 of the bits that mark texts whose sets are wanted: 8 MB.
@@ -44,13 +47,6 @@ def _fingerprint(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum() + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def _keys(sig: str) -> list[Column]:
-    """The 32 keys of a signature of which each long holds a chunk of four symbols."""
-    masks = [~(0xFFFF << 16 * k) & 0xFFFFFFFFFFFFFFFF for k in range(CHUNK)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return [F.xxhash64(F.lit(c * CHUNK + k), F.col(sig)[c].bitwiseAND(F.lit(m))) for c in range(CHUNKS) for k, m in enumerate(signed)]
-
-
 def with_fingerprint(docs: DataFrame, text: str, width: int, out: str) -> DataFrame:
     """``docs`` with the fingerprint of each text's shingle set; null for empty sets."""
 
@@ -111,6 +107,38 @@ def _marked(bitmap: bytes, values: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bitmap, dtype=np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def _keyed(nodes: DataFrame, columns: str, bitmap: bytes | None = None) -> DataFrame:
+    """The 32 keys of each node's sig, of which each long holds a chunk of four symbols; only those in ``bitmap``, if given."""
+    shared = None if bitmap is None else nodes.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = batch["sig"].flatten().to_numpy().view(np.uint64).reshape(-1, CHUNKS, 1)
+            key = mix(sig & _COUNT ^ _WHICH).view(np.int64).ravel()
+            fp = np.repeat(batch["fp"].to_numpy(), CHUNKS * CHUNK)
+            if shared is not None:
+                some = np.flatnonzero(_marked(shared.value, key))
+                key, fp = key[some], fp[some]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp)], ["key", "fp"]).select(columns.split())
+
+    return nodes.select("fp", "sig").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in columns.split()))
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """pivot and fp: for each node the least node of each key that it shares with others.
+
+    Nearly all keys are of one node. A first pass over keys alone marks those
+    that come again in a bitmap; only nodes of marked keys are shuffled, and
+    those few that the bitmap lets through in vain are told by the exact count.
+    """
+    again = materialize(_keyed(nodes, "key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    keyed = materialize(_keyed(nodes, "key fp", _bitmap(again, F.col("key"))))
+    buckets = materialize(keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
+    return join_hot(keyed, buckets, "key", "n", keyed.count()).select("pivot", "fp").distinct()
+
+
 def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """fp and the shingle set of each of the ``wanted`` (fp, doc_id), and of few others; a fp may come again.
 
@@ -244,10 +272,7 @@ def near_groups(docs: DataFrame, width: int = 5, least_percent: int = 80, doc_id
     nodes = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     nodes = materialize(nodes)
     n_docs, n_nodes = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    keyed = nodes.select("fp", F.explode(F.array(*_keys("sig"))).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(buckets)
-    members = materialize(join_hot(keyed, buckets, "key", "n", CHUNK * CHUNKS * n_nodes).select("pivot", "fp").distinct())
+    members = materialize(_members(nodes))
     wanted = materialize(nodes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "doc_id", "n_shingles"))
     sets = materialize(_sets(docs, width, wanted.select("fp", "doc_id")))
     # A node is in several groups; so is its set.
