@@ -7,10 +7,12 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 
 from waymark.llm.components import components
 from waymark.llm.embedding_dedup import near_vectors, shape_of
 from waymark.llm.near_dedup import near_groups, one_of_each
+from waymark.llm.shingles import shingle_sets
 
 FOLD = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -77,6 +79,10 @@ def test_no_documents(spark):
     assert near_groups(none).count() == 0 and one_of_each(none).count() == 0
 
 
+def test_texts_without_any_word_in_a_whole_batch():
+    assert [len(s) for s in shingle_sets(pa.array([" \n", None, "", "\t"]), 5)] == [0] * 4
+
+
 def test_blocks_of_a_large_group(spark, monkeypatch):
     from waymark.llm import near_dedup
 
