@@ -200,6 +200,22 @@ def test_near_copies_share_no_bin(spark, tmp_path):
     assert len(bins) == 4 and sorted(bins.values()) == [1, 1, 1, 2]
 
 
+def test_op6_counts_words_where_it_makes_shingles(spark, tmp_path, monkeypatch):
+    def twice(_):
+        raise AssertionError("words are counted a second time, by a pattern")
+
+    monkeypatch.setattr(packing, "word_count", twice)
+    texts = [*EDGES, "\x85 a b \x1c c", "a\r\n\x0bb", "a\r\n\x0bb", "é " * 5000, "one more"]
+    rows = [*((i, t, None) for i, t in enumerate(texts)), (None, "a null id", "s"), (3, "a repeated id", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = collections.Counter(), collections.Counter()
+    for r in op6_pack(spark, str(tmp_path)).collect():
+        got[r.doc_id] += r.n_tokens
+    for i, t, _ in rows:
+        want[i] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert got == +want
+
+
 def test_best_fit_equals_a_plain_search():
     rng = random.Random(1)
     sizes = sorted((rng.randint(1, 60) for _ in range(300)), reverse=True)

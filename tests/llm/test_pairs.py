@@ -192,3 +192,28 @@ def test_keys_of_one_node_are_not_shuffled_again(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i % 4000 for i in range(4040)}
     # 32 keys a node, each once and without its node; before, twice and with it.
     assert moved < 25 * 32 * len(texts), moved / 32 / len(texts)
+
+
+def test_sets_are_made_again_only_of_texts_that_share_a_key(spark, monkeypatch):
+    from waymark.llm import near_dedup
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counting(make):
+        def run(texts, width):
+            made.add(len(texts))
+            return make(texts, width)
+
+        return run
+
+    for name in ("counted_sets", "shingle_sets"):
+        if hasattr(near_dedup, name):
+            monkeypatch.setattr(near_dedup, name, counting(getattr(near_dedup, name)))
+    texts = [" ".join(f"d{i}w{k}" for k in range(20)) for i in range(1000)]
+    texts += [f"{t} more" for t in texts[:40]]
+    rows = [*enumerate(texts), (None, texts[50]), (None, ""), (7, "something else under the id of a text that is wanted")]
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id not in (None, 7)} == {i: i % 1000 for i in range(1040) if i != 7}
+    assert sorted(r.component_id for r in got if r.doc_id == 7) == [7, 7] and sum(r.component_id == 7 for r in got) == 3
+    # Each text once, and again the 80 of 1,043 that share a key and the few that the bitmap lets through; before, each twice.
+    assert len(rows) + 80 <= made.value < 1.2 * len(rows)

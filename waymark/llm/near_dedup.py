@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from waymark.llm.common import by_group, free_name, join_hot, map_text, materialize, slices, tidy
 from waymark.llm.components import components, local_roots
-from waymark.llm.shingles import minhash, mix, shingle_sets
+from waymark.llm.shingles import counted_sets, minhash, mix, shingle_sets
 
 CHUNK, CHUNKS = 4, 8
 #: For each key of a signature the symbols of its chunk that count, and what tells it from the other keys.
@@ -41,10 +41,15 @@ BLOCK = 512
 BITMAP = 26
 
 
-def _fingerprint(s: np.ndarray) -> int:
-    """64 bits of a set: a sum over its mixed members, mixed with its size."""
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum() + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
+def _fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """64 bits of each set: a sum over its mixed members, mixed with its size."""
+    sums = np.array([mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum() for s in sets], dtype=np.uint64)
+    return mix(sums + np.array([len(s) for s in sets], dtype=np.uint64)).view(np.int64)
+
+
+def _or_null(fps: np.ndarray, sets: list[np.ndarray]) -> pa.Array:
+    """The fingerprints; null for empty sets."""
+    return pa.array(fps, pa.int64(), mask=np.array([len(s) == 0 for s in sets], dtype=bool))
 
 
 def with_fingerprint(docs: DataFrame, text: str, width: int, out: str) -> DataFrame:
@@ -52,8 +57,8 @@ def with_fingerprint(docs: DataFrame, text: str, width: int, out: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            fps = [_fingerprint(s) if len(s) else None for s in shingle_sets(batch[text], width)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, out])
+            sets = list(shingle_sets(batch[text], width))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _or_null(_fingerprints(sets), sets)], [*batch.schema.names, out])
 
     return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
 
@@ -78,17 +83,20 @@ def one_of_each(docs: DataFrame, width: int = 5, least_percent: int = 80) -> Dat
     return out.drop(fp)
 
 
-def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, fp and sig (8 longs of four symbols; null, as fp, for an empty set)."""
+def signed(docs: DataFrame, width: int) -> DataFrame:
+    """The columns of ``docs`` but text, n_words, n_shingles, fp and sig (8 longs of four symbols; null, as fp, for an empty set)."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = list(shingle_sets(batch["text"], width))
+        words, sets = counted_sets(batch["text"], width)
+        sets = list(sets)
         sizes = pa.array([len(s) for s in sets], pa.int64())
-        fps = pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.int64())
         sigs = pa.array([minhash(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch["doc_id"], sizes, fps, sigs], ["doc_id", "n_shingles", "fp", "sig"])
+        made = [pa.array(words, pa.int64()), sizes, _or_null(_fingerprints(sets), sets), sigs]
+        return pa.RecordBatch.from_arrays([*[batch[c] for c in others], *made], [*others, "n_words", "n_shingles", "fp", "sig"])
 
-    return map_text(docs, "text", run, "doc_id long, n_shingles long, fp long, sig array<long>")
+    made = T.StructType.fromDDL("n_words long, n_shingles long, fp long, sig array<long>")
+    return map_text(docs, "text", run, T.StructType([*[docs.schema[c] for c in others], *made]))
 
 
 def _bitmap(values: DataFrame, value: Column) -> bytes:
@@ -143,16 +151,23 @@ def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """fp and the shingle set of each of the ``wanted`` (fp, doc_id), and of few others; a fp may come again.
 
     The texts are read once more; a bitmap tells most of those that are not
-    wanted, so that neither texts nor their sets need be shuffled here.
+    wanted, so that neither texts nor their sets need be shuffled here. It marks
+    ids, so that of other texts no set is made, and sets together with their id.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, F.col("fp").bitwiseXOR(F.coalesce("doc_id", F.lit(0)))))
+    own = F.coalesce("doc_id", F.lit(0))
+    marks = wanted.select(F.explode(F.array(own, F.col("fp").bitwiseXOR(own))).alias("mark"))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(marks, F.col("mark")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, "text"):
-            found = list(shingle_sets(batch["text"], width))
-            fps = np.array([_fingerprint(s) if len(s) else 0 for s in found], dtype=np.int64)
-            marked = _marked(shared.value, fps ^ np.array(batch["doc_id"].fill_null(0), dtype=np.int64)) & np.array([len(s) > 0 for s in found])
+            ids = np.array(batch["doc_id"].fill_null(0), dtype=np.int64)
+            asked = _marked(shared.value, ids)
+            if not asked.any():
+                continue
+            found = list(shingle_sets(batch["text"].filter(pa.array(asked)), width))
+            fps = _fingerprints(found)
+            marked = _marked(shared.value, fps ^ ids[asked]) & np.array([len(s) > 0 for s in found])
             some = [k for k in np.flatnonzero(marked).tolist() if not (fps[k] in seen or seen.add(fps[k]))]
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array(fps[some]), pa.array([found[k].view(np.int64) for k in some], pa.list_(pa.int64()))], ["fp", "shingles"])
@@ -268,8 +283,12 @@ def near_groups(docs: DataFrame, width: int = 5, least_percent: int = 80, doc_id
     ``with_fp`` puts the set's fingerprint before the other columns.
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    signed = materialize(_signed(docs, width))
-    nodes = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    return grouped(materialize(signed(docs, width)), docs, width, least_percent, with_fp)
+
+
+def grouped(signs: DataFrame, docs: DataFrame, width: int, least_percent: int, with_fp: bool = False) -> DataFrame:
+    """What ``near_groups`` gives, for doc_id and text of ``docs``, of which ``signs``, already written, are ``signed``."""
+    nodes = signs.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     nodes = materialize(nodes)
     n_docs, n_nodes = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     members = materialize(_members(nodes))
@@ -283,7 +302,7 @@ def near_groups(docs: DataFrame, width: int = 5, least_percent: int = 80, doc_id
     rooted = materialize(rooted)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_nodes"))
     named = join_hot(rooted, least, "root", "n_nodes", n_nodes).select("fp", "component_id", "n")
-    out = signed.select("doc_id", "n_shingles", "fp")
+    out = signs.select("doc_id", "n_shingles", "fp")
     linked = join_hot(out.where("fp is not null"), materialize(named), "fp", "n", n_docs)
     alone = out.where("fp is null").withColumn("component_id", F.col("doc_id"))
     out = linked.unionByName(alone)

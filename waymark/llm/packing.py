@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import by_group, join_hot, materialize, word_count
-from waymark.llm.near_dedup import near_groups
+from waymark.llm.near_dedup import grouped, near_groups, signed
 
 CAPACITY, SHARD_PIECES = 2048, 4096
 #: Copies of one row that a task lists.
@@ -71,7 +71,10 @@ def near_clusters(docs: DataFrame, width: int = 5, least_percent: int = 80) -> D
 
     Texts are named by their hash, so that null and repeated ids don't matter.
     """
-    groups = near_groups(docs.select(F.xxhash64("text").alias("own"), "text"), width, least_percent, doc_id="own")
+    return _clusters(near_groups(docs.select(F.xxhash64("text").alias("own"), "text"), width, least_percent, doc_id="own"))
+
+
+def _clusters(groups: DataFrame) -> DataFrame:
     return groups.where("not kept").select(F.col("doc_id").alias("own"), F.col("component_id").alias("cluster")).distinct()
 
 
@@ -86,8 +89,27 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, by_source: bool = True, clus
     columns are not read. Pieces of equal size go by their row's hash. Bins
     are numbered within their shard. No rows give none.
     """
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("source") if by_source else F.lit(None).cast("string")).alias("source"), F.xxhash64("text").alias("own"), word_count("text").alias("size"))
-    sized = materialize(kept.where("size > 0"))
+    kept = _named(docs, by_source).select("doc_id", "source", "own", word_count("text").alias("size"))
+    return _packed(materialize(kept.where("size > 0")), capacity, clusters)
+
+
+def pack_apart(docs: DataFrame, capacity: int = CAPACITY, by_source: bool = True, width: int = 5, least_percent: int = 80) -> DataFrame:
+    """``pack`` of ``docs`` with their ``near_clusters``; one reading of the texts counts words and signs shingles."""
+    named = _named(docs, by_source)
+    signs = materialize(signed(named, width))
+    texts = named.select(F.col("own").alias("doc_id"), "text")
+    groups = grouped(signs.select(F.col("own").alias("doc_id"), "n_shingles", "fp", "sig"), texts, width, least_percent)
+    sized = signs.where("n_words > 0").select("doc_id", "source", "own", F.col("n_words").alias("size"))
+    return _packed(sized, capacity, _clusters(groups))
+
+
+def _named(docs: DataFrame, by_source: bool) -> DataFrame:
+    """doc_id, source (null unless ``by_source``), own (the text's hash) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("source") if by_source else F.lit(None).cast("string")).alias("source"), F.xxhash64("text").alias("own"), "text")
+
+
+def _packed(sized: DataFrame, capacity: int, clusters: DataFrame | None) -> DataFrame:
+    """The pieces of ``sized`` (doc_id, source, own, size), which is already written, in their bins."""
     rows, pieces = sized.agg(F.count("*"), F.coalesce(F.sum(F.ceil(F.col("size") / capacity)), F.lit(0))).first()
     shards = max(1, -(-pieces // SHARD_PIECES))
     # Each text's hash with its cluster; a text that many rows have is joined by broadcast.
