@@ -232,6 +232,54 @@ def test_the_forest_finds_most_poor_rows_that_pass_the_base_rules(spark):
     assert found[0] > 0.5 and found[1] < 0.02
 
 
+def test_every_labelled_row_counts_in_fitting(spark):
+    rng = random.Random(8)
+    usual = [" ".join(f"word{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 90))) for _ in range(400)]
+    odd = [t.replace("word", "#|$") for t in usual]
+    ids = [r.id for r in spark.range(23_000).orderBy(F.xxhash64("id"), "id").collect()]
+    # Poor rows are only among the last 3,000 in the order of the hash.
+    poor = set(ids[20_000::2])
+    fresh = range(23_000, 23_400)
+    rows = [(i, rng.choice(odd if i in poor or i in fresh and i % 2 else usual)) for i in [*ids, *fresh]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in poor), 0) for i in ids], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality.quality(docs, labels).where("doc_id >= 23000").collect()}
+    assert len(got) == 400 and all(got[i] == (i % 2 == 0) for i in fresh)
+
+
+def test_trees_draw_from_all_rows_and_copies_count(spark):
+    """Each draw is without replacement; the rows of an id count each, in the draws and beside their label."""
+    import numpy as np
+
+    texts = [" ".join(f"w{(i * 7 + k) % 911}" for k in range(60 + i)) for i in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), *[(7, texts[7])] * 299, (7, texts[0] + " more"), (None, texts[1]), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i != 7), 0) for i in range(300)] + [(3, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.labelled(quality.measured(docs), labels).cache()
+    assert sorted((r.good, r.times) for r in rows.collect()) == [(False, 1), (False, 300)] + [(True, 1)] * 299
+    drawn = quality.draw(rows, 600, 40)
+    assert {d.shape for d in drawn} == {(256, 8)}
+    words = [np.rint(np.exp(d[:, 0])).astype(int).tolist() for d in drawn]
+    assert all(max(collections.Counter(w for w in ws if w != 67).values()) <= 2 for ws in words)
+    assert {w for ws in words for w in ws} == {60 + i for i in range(300)}
+    assert sum(ws.count(67) for ws in words) / (40 * 256) == pytest.approx(0.5, abs=0.03)
+    assert all((a == b).all() for a, b in zip(drawn, quality.draw(rows.repartition(5), 600, 40), strict=True))
+    assert {d.shape for d in quality.draw(rows.where("not good"), 301, 3)} == {(256, 8)}
+
+
+def test_best_cut_equals_a_plain_loop(spark):
+    rng = random.Random(5)
+    for most in (3, 60, 5000):
+        rows = [(rng.choice((-2, -1, 1, 1, 3)), *[rng.randint(0, most) / 97 * k for k in range(3)]) for _ in range(400)]
+        want = []
+        for k in range(3):
+            levels = sorted({r[k + 1] for r in rows})
+            cuts = [(sum(r[0] for r in rows if r[k + 1] <= a), -i, (a + b) / 2) for i, (a, b) in enumerate(zip(levels[:-1], levels[1:], strict=True))]
+            want += [(max(cuts)[0], max(cuts)[2], -k)] if cuts else []
+        got = quality.best_cuts(spark.createDataFrame(rows, "gain long, p0 double, p1 double, p2 double"), [0, 1, 2])
+        assert sorted(got) == sorted(want)
+    assert quality.best_cuts(spark.createDataFrame([], "gain long, p0 double"), [0]) == []
+
+
 def test_block_selection_equals_listed_blocks():
     """The closed form of what a shard's choice takes, against its blocks one by one."""
     rng = random.Random(6)
