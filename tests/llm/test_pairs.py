@@ -108,6 +108,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_are_planned_in_small_parts(spark, monkeypatch):
+    from waymark.llm import components as module
+
+    nodes, write = [], module.materialize
+    # A node a line; the driver lists them all again after every stage.
+    monkeypatch.setattr(module, "materialize", lambda df: (nodes.append(df._jdf.queryExecution().executedPlan().toString().count("\n")), write(df))[1])
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 140)}}
+    assert max(nodes) < 70, nodes
+
+
 def test_vectors_equal_brute_force(spark, monkeypatch):
     from waymark.llm import embedding_dedup
 

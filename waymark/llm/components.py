@@ -3,8 +3,11 @@
 Every round is two aggregations and two equi-joins over the edges.  The
 aggregations combine before the shuffle, and the nodes with most edges, at most
 ``HOT`` of them, are joined by broadcast, so that a star's centre is no task of
-its own.  Rounds are cut by tables in the shared folder, so a lost executor
-repeats one round at most.
+its own.  Every aggregation and every join is cut by a table in the shared
+folder, so a lost executor repeats one of them at most, and the driver plans
+one at a time: a join repeats the plan of both its sides, so that a round in
+one plan has hundreds of nodes, which adaptive execution lists again after
+every stage.
 """
 
 from __future__ import annotations
@@ -29,15 +32,20 @@ def local_roots(linked: np.ndarray) -> np.ndarray:
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.least("src", F.min("dst")).alias("m"), F.count("*").alias("n"))
-    return join_hot(both, least, "src", "n", 2 * total).where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
+    least = materialize(both.groupBy("src").agg(F.least("src", F.min("dst")).alias("m"), F.count("*").alias("n")))
+    moved = join_hot(both, least, "src", "n", 2 * total).where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    out = materialize(moved.distinct())
+    forget(edges.sparkSession, least)
+    return out
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n"))
+    least = materialize(down.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n")))
     moved = join_hot(down, least, "src", "n", total).where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-    return moved.unionByName(least.select("src", F.col("m").alias("dst"))).distinct()
+    out = materialize(moved.unionByName(least.select("src", F.col("m").alias("dst"))).distinct())
+    forget(edges.sparkSession, least)
+    return out
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 64) -> DataFrame:
@@ -56,8 +64,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
             break
         before, old = state, edges
         # Large stars keep about the number of edges, so it does for both joins.
-        edges = materialize(_small_star(_large_star(edges, state[0]), state[0]))
-        forget(spark, old)
+        large = _large_star(edges, state[0])
+        edges = _small_star(large, state[0])
+        forget(spark, old, large)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
